@@ -17,7 +17,7 @@ compared along a diagonal have just A-Z lower-cased, as the contract says, and
 both ways cut words at the same places.
 
 The documents' text is read twice, at the start and, for those with a hit, at
-the end; that join's small side is the hits'. Word counts and kept hashes are a
+the end; a bitmap of fixed size keeps most others out of that join's shuffle. Word counts and kept hashes are a
 stored table. The planner broadcasts the items' side while its file is under
 the broadcast limit and sorts and merges beyond it.
 
@@ -37,6 +37,8 @@ from tidelog.llm.common import prepare, stored
 #: Words of a window, of a hashed shingle, and shingles among which the least is kept.
 SPAN, K = 13, 4
 W = SPAN - K + 1
+#: Bits of the filter of documents with a hit: a row of 64 each, so its broadcast has BUCKETS / 64 rows of 16 bytes at most, 4 MB.
+BUCKETS = 1 << 24
 #: Separators between words once A-Z are lower-cased.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -99,9 +101,14 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     parts = [F.col("kept"), *(F.expr(_shingles(n)) for n in shorts)]
     base = stored(hashed.select("doc_id", "text_key", F.size("words").cast("long").alias("n_words"), F.array_distinct(F.concat(*parts)).alias("kept")), "kept")
 
-    found = base.select("doc_id", "text_key", F.explode("kept").alias("hash")).distinct().join(marks, "hash")
+    found = base.select("doc_id", "text_key", F.explode("kept").alias("hash")).join(marks, "hash")
     hits = stored(found.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("hash", "item", "item_key", "item_n", "item_at")).alias("hits")), "hits")
 
+    bucket = lambda key: F.xxhash64("doc_id", key).bitwiseAND(F.lit(BUCKETS - 1))
+    taken = hits.select(bucket("text_key").alias("b")).groupBy(F.shiftright("b", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b & 63 as int))")).alias("bits"))
+    marked = doc.withColumn("b", bucket(F.xxhash64("text"))).withColumn("word", F.shiftright("b", 6))
+    doc = marked.join(F.broadcast(taken), "word").where("shiftright(bits, cast(b & 63 as int)) & 1 = 1").select("doc_id", "text")
+
     pair = [F.col("doc_id").eqNullSafe(F.col("h_id")), F.xxhash64("text") == F.col("h_key")]
     held = doc.join(hits.select(F.col("doc_id").alias("h_id"), F.col("text_key").alias("h_key"), "hits"), pair[0] & pair[1]).select("doc_id", F.col("h_key").alias("text_key"), "text", "hits").dropDuplicates(["doc_id", "text_key"])
     entries = F.expr(f"flatten(transform(array({', '.join(['grams', *map(_shingles, shorts)])}), x -> transform(x, (g, i) -> struct(g as hash, i as at))))")
