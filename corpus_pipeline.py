@@ -10,16 +10,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm import decontaminate, langid, pii, sentencepieces, simhash
+from tidelog.llm import decontaminate, idset, langid, pii, sentencepieces, simhash
 from tidelog.llm.common import prepare, stored, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    return docs.join(ids.where("doc_id is not null").select("doc_id").distinct(), "doc_id", "left_anti").select(*COLUMNS)
-
-
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents whose language is rejected; lang is the predicted one."""
     found = langid.predict(F.col("text"), langid.train(docs))
@@ -29,12 +25,12 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of least doc_id of each group."""
     groups = simhash.near_duplicates(docs)
-    return _without(docs, groups.where("doc_id <> component_id"))
+    return idset.without(docs.select(*COLUMNS), groups.where("doc_id <> component_id"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that the benchmark's windows contaminate."""
-    return _without(docs, decontaminate.contamination(docs, table(spark, sf_dir, "benchmark")).where("contaminated"))
+    return idset.without(docs.select(*COLUMNS), decontaminate.contamination(docs, table(spark, sf_dir, "benchmark")).where("contaminated"))
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -353,3 +353,14 @@ def test_oracle(spark, name):
     columns = sorted(want.columns)
     rows = lambda df: sorted(map(repr, df[columns].astype(object).where(df[columns].notna(), None).values.tolist()))
     assert rows(got) == rows(want)
+
+
+def test_without(spark, monkeypatch):
+    from tidelog.llm import idset
+
+    rows = spark.createDataFrame([(i, f"t{i}") for i in [*range(300), 7, 8]] + [(None, "n")], "doc_id long, text string")
+    ids = spark.createDataFrame([(i,) for i in range(0, 300, 7)] + [(None,), (7,)], "doc_id long")
+    for bits in (1 << 24, 64):  # the second shares most bits
+        monkeypatch.setattr(idset, "BITS", bits)
+        got = Counter(r.doc_id for r in idset.without(rows, ids).collect())
+        assert got == Counter([i for i in [*range(300), 8] if i % 7] + [None])
