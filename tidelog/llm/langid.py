@@ -39,7 +39,7 @@ MAX_GRAMS = 500_000
 #: Training texts from which rejection limits are taken, the quantile of theirs and the factor on it.
 CALIBRATION, QUANTILE, MARGIN = 2000, 0.999, 1.6
 #: Characters of tokens a worker remembers, and distinct tokens or n-grams it counts before it passes them on.
-CACHED, COUNTED = 6_000_000, 200_000
+CACHED, COUNTED = 1_500_000, (80_000, 150_000)
 BASE = 0x9E3779B97F4A7C15
 
 
@@ -51,18 +51,36 @@ def letters(token: str) -> str:
     return token.lower() if token.isalpha() and token.isascii() else "".join(filter(str.isalpha, token.lower()))
 
 
+def _hashes(text: str) -> list[np.ndarray]:
+    """Hashes of the 1, 2 ... ORDER characters that end at each place of a text; those of gram strings by ``_hash``."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
+    found = [codes]
+    for _ in range(ORDER - 1):
+        found.append(np.r_[np.uint64(0), found[-1][:-1]] * np.uint64(BASE) + codes)
+    return found
+
+
+def _padded(words: list[str]) -> tuple[str, np.ndarray, np.ndarray]:
+    """The words between spaces as one text, their lengths in it, and each character's place in its word."""
+    lengths = np.array([len(w) + 2 if w else 0 for w in words], np.int64)
+    start = np.repeat(np.cumsum(lengths) - lengths, lengths)
+    return "".join(f" {w} " for w in words if w), lengths, np.arange(len(start)) - start
+
+
 def _grams(tokens: Counter) -> Counter:
     """Longest n-grams of the tokens: of each character after the first space, with up to four before it."""
     words: Counter = Counter()
     for token, n in tokens.items():
         words[letters(token)] += n
-    out: Counter = Counter()
-    for word, n in words.items():
-        if word:
-            padded = f" {word} "
-            for i in range(1, len(padded)):
-                out[padded[max(0, i - ORDER + 1) : i + 1]] += n
-    return out
+    text, lengths, place = _padded(list(words))
+    if not text:
+        return Counter()
+    hashes, size = _hashes(text), np.minimum(place, ORDER - 1)
+    ends = np.flatnonzero(place)
+    keys = np.stack(hashes)[size[ends], ends]
+    _, first, which = np.unique(keys, return_index=True, return_inverse=True)
+    sums = np.bincount(which, np.repeat(np.fromiter(words.values(), np.int64), lengths)[ends]).astype(np.int64).tolist()
+    return Counter({text[e - n : e + 1]: s for e, n, s in zip(ends[first].tolist(), size[ends[first]].tolist(), sums)})
 
 
 def _count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,9 +100,9 @@ def _count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in parts:
         for lang, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
             tokens[lang].update(text.split())
-            if sum(map(len, tokens.values())) > COUNTED:
+            if sum(map(len, tokens.values())) > COUNTED[0]:
                 take()
-        if sum(map(len, grams.values())) > COUNTED:
+        if sum(map(len, grams.values())) > COUNTED[1]:
             yield emit()
     take()
     yield emit()
@@ -167,18 +185,12 @@ class Model:
 
     def words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Sums of log-probabilities (words x languages) and predicted characters of each word of letters."""
-        lengths = np.array([len(w) + 2 if w else 0 for w in words], np.int64)
-        text = "".join(f" {w} " for w in words if w)
+        text, lengths, place = _padded(words)
         total = np.zeros((len(words), len(self.langs)))
         if not text:
             return total, np.zeros(len(words), np.int64)
-        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
-        start = np.repeat(np.cumsum(lengths) - lengths, lengths)
-        place = np.arange(len(codes)) - start
-        hashes = [codes]
-        for _ in range(ORDER - 1):
-            hashes.append(np.r_[np.uint64(0), hashes[-1][:-1]] * np.uint64(BASE) + codes)
-        score = np.zeros((len(codes), len(self.langs)), np.float32)
+        hashes = _hashes(text)
+        score = np.zeros((len(place), len(self.langs)), np.float32)
         left = np.flatnonzero(place > 0)
         for n in range(ORDER - 1, -1, -1):
             now = left[place[left] >= n]

@@ -39,7 +39,7 @@ from tidelog.llm.common import prepare, texts
 PATH = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Remembered characters of chunks, and pairs of pieces, of a worker; both are emptied at the bound.
-CACHED, PAIRS = 8_000_000, 400_000
+CACHED, PAIRS = 4_000_000, 200_000
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 
