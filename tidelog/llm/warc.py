@@ -256,7 +256,8 @@ def convert(arcs: DataFrame, folder: str, least: int = 0) -> DataFrame:
     place = F.struct(F.coalesce("page_id", F.lit(-(1 << 63))).alias("page"), "uri", "at")
     keep = index.where(F.col("payload_bytes") >= least).groupBy("digest", "payload_bytes").agg(F.max(place).alias("k")).select("digest", "payload_bytes", F.col("k.uri").alias("keep_uri"), F.col("k.at").alias("keep_at"))
     told = index.join(keep, ["digest", "payload_bytes"], "left").select("uri", "at", "keep_uri", "keep_at")
-    dealt = told.repartition("uri").sortWithinPartitions("uri", "at")
+    files = max(1, arcs.count())  # a number of its own, or the few bytes of the index would be coalesced to one task
+    dealt = told.repartition(files, "uri").sortWithinPartitions("uri", "at")
     return _listed(spark, dealt.mapInArrow(_convert(folder), "uri string, records long"))
 
 
