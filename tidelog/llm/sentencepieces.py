@@ -39,7 +39,7 @@ from tidelog.llm.common import prepare, texts
 PATH = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Remembered characters of chunks, and pairs of pieces, of a worker; both are emptied at the bound.
-CACHED, PAIRS = 4_000_000, 200_000
+CACHED, PAIRS = 8_000_000, 300_000
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 
@@ -108,6 +108,8 @@ class Model:
         self.raw = [bytes([int(p[3:5], 16)]) if k == BYTE else b"" if k == CONTROL else " ⁇ ".encode() if k == UNKNOWN else p.replace(MARK, " ").encode() for p, _, k in self.pieces]
         inside = re.compile(f"[^{MARK}]{MARK}")
         self.cut_words = not any(inside.search(p) for p in self.ids)
+        ends = set(".,!?*%&$#|;:") & self.known_after_letters()
+        self.ends = "".join(sorted(ends))
         self.cut_lines = not any("\n" in p for p in self.ids)
         self.known = frozenset(p for p in self.ids if len(p) == 1)
         if not self.known.issuperset("".join(self.ids)):
@@ -119,9 +121,21 @@ class Model:
         self.automaton.make_automaton()
         self.line = self._pack(self._tokens(["\n"]))
         self.pairs: dict[tuple[str, str], bool] = {}
-        self.marked = Remembered(lambda word: self._pack(self._tokens(self._chunk(MARK + word))))
+        self.marked = Remembered(self._word)
         self.plain = Remembered(lambda chunk: self._pack(self._tokens(self._chunk(chunk))))
 
+    def known_after_letters(self) -> set[str]:
+        """Characters that follow a letter in no piece, so that tokens end before them there."""
+        joined = {b for p in self.ids for a, b in zip(p, p[1:]) if a.isalpha()}
+        return {p for p in self.ids if len(p) == 1} - joined
+
+    def _word(self, word: str) -> bytes:
+        """A word after a white space mark; what follows its last letter is encoded apart where no piece spans both."""
+        stem = word.rstrip(self.ends)
+        if stem != word and stem and stem[-1].isalpha():
+            return self.marked[stem] + self.plain[word[len(stem) :]]
+        return self._pack(self._tokens(self._chunk(MARK + word)))
+
     @staticmethod
     def _pack(ids: list[int]) -> bytes:
         return struct.pack(f"<{len(ids)}I", *ids)
