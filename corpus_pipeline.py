@@ -42,9 +42,8 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, and whether they decode to its text."""
     prepare(spark)
-    model = sentencepieces.load()
-    encoded = docs.select("doc_id", "lang", "source", "text", sentencepieces.encode(F.col("text"), model).alias("ids"))
-    return encoded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", sentencepieces.decode(F.col("ids"), model).eqNullSafe(F.coalesce(F.replace(F.col("text"), F.lit(sentencepieces.MARK), F.lit(" ")), F.lit(""))).alias("round_trip"))
+    encoded = docs.select("doc_id", "lang", "source", sentencepieces.encode_checked(F.col("text"), sentencepieces.load()).alias("x"))
+    return encoded.select("doc_id", "lang", "source", F.size("x.ids").cast("long").alias("n_tokens"), "x.ids", "x.round_trip")
 
 
 STAGES = [

@@ -185,6 +185,15 @@ def test_language(spark, odd):
     assert langid.identify(odd.limit(0)).count() == 0 and langid.identify(odd.withColumn("lang", F.lit(None).cast("string"))).where("lang_pred <> 'und'").count() == 0
 
 
+def test_languages_not_learned_are_rejected(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = langid.train(docs.where("lang <> 'fr'"))
+    rows = docs.where(langid.held_out(F.col("doc_id")) | F.expr("lang = 'fr'")).select("lang", langid.predict(F.col("text"), model).alias("x")).where("x.lang_pred <> 'und'").select("lang", "x.rejected").collect()
+    known, foreign = [r.rejected for r in rows if r.lang != "fr"], [r.rejected for r in rows if r.lang == "fr"]
+    assert not any(known) and len(known) > 100
+    assert sum(foreign) >= 0.95 * len(foreign) and len(foreign) > 100
+
+
 def test_quality(spark, odd):
     docs, labels = (spark.read.parquet(f"{SF.parent}/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     rows = quality.classify(docs, labels).join(labels, "doc_id").where("held_out").collect()

@@ -280,6 +280,22 @@ def encode(text: Column, data: bytes) -> Column:
     return ids(text)
 
 
+def encode_checked(text: Column, data: bytes) -> Column:
+    """A struct of a text's token ids (none for null) and round_trip: whether they decode to the text, its marks as spaces. One worker does both."""
+
+    @F.arrow_udf("ids array<int>, round_trip boolean")
+    def both(column: pa.Array) -> pa.Array:
+        model = _model(data)
+        raws = [x or b"" for x in texts(column)]
+        packed = [model.encode(x.decode("utf-8", "replace")) for x in raws]
+        back = [model.decode(_ids(p).tolist()) == model.normalised(x) for p, x in zip(packed, raws)]
+        offsets = np.cumsum([0, *(len(p) // 4 for p in packed)], dtype=np.int32)
+        ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(_ids(b"".join(packed))))
+        return pa.StructArray.from_arrays([ids, pa.array(back, pa.bool_())], ["ids", "round_trip"])
+
+    return both(text)
+
+
 def decode(ids: Column, data: bytes) -> Column:
     """The text of an array of token ids; null for null, bytes that are no UTF-8 replaced."""
 
