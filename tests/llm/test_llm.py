@@ -351,6 +351,7 @@ def test_pipeline(spark, odd):
     assert kept.where("not round_trip").count() == 0 and kept.count() > 0.5 * docs.count()
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, odd, str(SF)).columns == list(corpus_pipeline.COLUMNS)
+    assert corpus_pipeline.identify_language(spark, docs, str(SF))._jdf.queryExecution().executedPlan().toString().count("EvalPython") == 1
 
 
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))

@@ -257,7 +257,11 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def predict(text: Column, model: Model) -> Column:
-    """A text's (lang_pred, score, cross_entropy, rejected) as a struct, for use in a select."""
+    """A text's (lang_pred, score, cross_entropy, rejected) as a struct, for use in a select.
+
+    Marked nondeterministic only so that a filter on it isn't pushed below the
+    select, which would run the function twice for each row.
+    """
     shared = SparkSession.getActiveSession().sparkContext.broadcast(model)
     kinds = {"lang_pred": pa.string(), "score": pa.float64(), "cross_entropy": pa.float64(), "rejected": pa.bool_()}
 
@@ -268,7 +272,7 @@ def predict(text: Column, model: Model) -> Column:
             rows = list(zip(*scorer.texts(column.to_pylist()))) or [()] * 4
             yield pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds.values())], list(kinds))
 
-    return found(text)
+    return found.asNondeterministic()(text)
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_grams: int = MAX_GRAMS) -> Model:
