@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import zlib
 from collections import Counter
 from pathlib import Path
 
@@ -194,6 +195,30 @@ def test_languages_not_learned_are_rejected(spark):
     assert sum(foreign) >= 0.95 * len(foreign) and len(foreign) > 100
 
 
+def test_model_by_joins(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    counted = langid.gram_counts(docs).collect()
+    counts = {}
+    for lang, gram, n in counted:
+        counts.setdefault(lang, {})[gram] = n
+    want, got = langid.Model(counts), langid.build(langid.gram_counts(docs))
+    words = ["the", "wurde", "é", "", "zzzzqx", "données", *{langid.letters(t) for r in docs.limit(20).collect() for t in r.text.split()}]
+    assert got.langs == want.langs and (got.words(words)[1] == want.words(words)[1]).all()
+    assert abs(got.words(words)[0] - want.words(words)[0]).max() < 1e-3
+
+
+def test_large_alphabet_leaves_rare_language(spark):
+    """More n-grams than 500,000, each more frequent than those of the rare language."""
+    rng = random.Random(0)
+    many = [" ".join("".join(chr(0x4E00 + rng.randrange(5000)) for _ in range(10)) for _ in range(1000)) for _ in range(60)]
+    ids = [i for i in range(2000) if zlib.crc32(str(i).encode()) % 5]
+    rare = "quokka numbat bilby dunnart potoroo"
+    rows = [(i, t, "zh") for i, t in zip(ids, many + many)] + [(ids[-1], rare, "au"), (ids[-2], "hello there my friend " * 3, "en")]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.langs == ["au", "en", "zh"]
+    assert langid.Scorer(model).texts([rare])[0][0] == "au"
+
+
 def test_quality(spark, odd):
     docs, labels = (spark.read.parquet(f"{SF.parent}/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     rows = quality.classify(docs, labels).join(labels, "doc_id").where("held_out").collect()

@@ -3,12 +3,13 @@
 A token is scored as `` word `` between spaces, letters lower-cased and all else
 dropped; each character is predicted from at most four before it in the token.
 Counts are gathered over every training row: tasks count tokens, then their
-character n-grams, and a shuffle adds them up. The model keeps the ``MAX_GRAMS``
-most frequent of the longest n-grams (a bound of its size, far above what an
-alphabet gives at five characters in most cases), from which the shorter ones'
-continuation counts follow. For each order it holds one sorted array of 64-bit
-hashes and a row of log-probabilities by language; a search goes from the
-longest order down and adds the weights of the contexts it leaves.
+character n-grams, and a shuffle adds them up. The model keeps every n-gram of
+every language; the shorter ones' continuation counts follow from the longest.
+For each order it holds one sorted array of 64-bit hashes and a row of
+log-probabilities by language; a search goes from the longest order down and
+adds the weights of the contexts it leaves. Spark computes and sorts these
+arrays in the shared folder; each machine copies them to its temporary folder
+once and its workers map the copy, so neither the driver nor a worker holds them.
 
 A text's language is that of the lowest cross-entropy by character. It is
 rejected if that exceeds the language's limit: the ``QUANTILE`` of a bounded
@@ -23,24 +24,28 @@ is scored whole, and caches are emptied by size; further columns are ignored.
 
 from __future__ import annotations
 
+import fcntl
+import os
+import tempfile
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.llm.common import prepare
+from tidelog.llm.common import prepare, stored, work_dir
 
 ORDER = 5
-#: Longest n-grams that a model keeps, the most frequent first.
-MAX_GRAMS = 500_000
 #: Training texts from which rejection limits are taken, the quantile of theirs and the factor on it.
 CALIBRATION, QUANTILE, MARGIN = 2000, 0.999, 1.6
 #: Characters of tokens a worker remembers, and distinct tokens or n-grams it counts before it passes them on.
 CACHED, COUNTED = 1_500_000, (80_000, 150_000)
-BASE = 0x9E3779B97F4A7C15
+BASE, TOP = 0x9E3779B97F4A7C15, np.uint64(1 << 63)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -209,6 +214,102 @@ class Model:
         return total, np.maximum(lengths - 1, 0)
 
 
+class Mapped(Model):
+    """A model whose arrays lie in a shared folder, one of Parquet files in order of hash for each order and kind."""
+
+    def __init__(self, uri: str, langs: list[str], vocabulary: int):
+        self.uri, self.langs = uri, langs
+        self.floor = -np.log(vocabulary)
+        self.limits = np.full(len(langs), np.inf)
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in vars(self).items() if k not in ("grams", "weights")}
+
+    @cached_property
+    def grams(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        return [self._map(f"grams-{n}") for n in range(ORDER)]
+
+    @cached_property
+    def weights(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        return [self._map(f"weights-{n}") for n in range(ORDER)]
+
+    def _map(self, name: str) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes and rows of one array, mapped from this machine's copy; the first worker to ask makes it."""
+        local = os.path.join(tempfile.gettempdir(), os.path.basename(self.uri))
+        os.makedirs(local, exist_ok=True)
+        keys, rows, done = (os.path.join(local, f"{name}.{what}") for what in ("keys", "rows", "done"))
+        with open(os.path.join(local, f"{name}.lock"), "w") as lock:
+            fcntl.flock(lock, fcntl.LOCK_EX)
+            if not os.path.exists(done):
+                self._copy(name, keys, rows)
+                open(done, "w").close()
+        size = os.path.getsize(keys) // 8
+        if not size:
+            return np.zeros(0, np.uint64), np.zeros((0, len(self.langs)), np.float32)
+        return np.asarray(np.memmap(keys, np.uint64, "r")), np.asarray(np.memmap(rows, np.float32, "r", shape=(size, len(self.langs))))
+
+    def _copy(self, name: str, keys: str, rows: str) -> None:
+        system, path = fs.FileSystem.from_uri(f"{self.uri}/{name}")
+        files = sorted(f.path for f in system.get_file_info(fs.FileSelector(path)) if f.base_name.endswith(".parquet"))
+        with open(keys, "wb") as to_keys, open(rows, "wb") as to_rows:
+            for file in files:
+                with system.open_input_file(file) as source:
+                    for part in pq.ParquetFile(source).iter_batches():
+                        to_keys.write((part.column(0).to_numpy().view(np.uint64) ^ TOP).tobytes())
+                        to_rows.write(part.column(1).flatten().to_numpy().tobytes())
+
+
+def _logs(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Hashes of grams, their top bit flipped to sort as signed numbers, and logarithms of their values."""
+    for part in parts:
+        keys = np.array([_hash(g) for g in part.column(0).to_pylist()], np.uint64) ^ TOP
+        values = np.log(part.column(1).flatten().to_numpy()).astype(np.float32)
+        starts = np.linspace(0, len(values), len(keys) + 1).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.ListArray.from_arrays(starts, values)], ["key", "logs"])
+
+
+def build(counts: DataFrame) -> Model:
+    """The model of all rows (lang, gram, n), as ``Model`` makes it of dictionaries, by joins.
+
+    Only the languages and a few numbers for each of their orders come to the driver.
+    """
+    counts = stored(counts, "counts")
+    langs = [r[0] for r in counts.select("lang").distinct().orderBy("lang").collect()]
+    if not langs:
+        return Model({})
+    orders: list[DataFrame] = []
+    for n in range(ORDER - 1, -1, -1):
+        rows = counts.where(F.length("gram") == n + 1)
+        if orders:
+            before = orders[0].select("lang", F.expr("substring(gram, 2)").alias("gram"), F.lit(1).cast("long").alias("n"))
+            rows = rows.unionByName(before).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+        orders.insert(0, stored(rows, f"order-{n}"))
+    sizes: dict[tuple[int, str], tuple[int, int, int]] = {}
+    for n, rows in enumerate(orders):
+        for r in rows.groupBy("lang").agg(F.count("*"), F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)).collect():
+            sizes[n, r[0]] = r[1], r[2], r[3]
+    vocabulary = 2 + max((sizes[0, lang][0] for lang in langs if (0, lang) in sizes), default=0)
+    uri = work_dir(counts.sparkSession, "langid")
+    lower = None
+    for n, rows in enumerate(orders):
+        discounts = [ones / (ones + 2 * twos) if ones and twos else 0.5 for _, ones, twos in (sizes.get((n, lang), (0, 0, 0)) for lang in langs)]
+        head = F.substring("gram", 1, n)
+        by_lang = lambda what: F.array(*[F.sum(F.when(F.col("lang") == lang, what).otherwise(F.lit(0))).cast("double") for lang in langs])
+        heads = rows.groupBy(head.alias("head")).agg(by_lang(F.col("n")).alias("total"), by_lang(F.lit(1)).alias("kinds"))
+        weight = F.array(*[F.when(F.col("total")[i] > 0, F.lit(d) * F.col("kinds")[i] / F.greatest(F.col("total")[i], F.lit(1.0))).otherwise(F.lit(1.0)) for i, d in enumerate(discounts)])
+        heads = stored(heads.select("head", "total", weight.alias("weight")), f"heads-{n}")
+        wide = rows.groupBy("gram").agg(by_lang(F.col("n")).alias("c")).withColumn("head", head).join(heads, "head")
+        if lower is not None:
+            wide = wide.withColumn("rest", F.expr("substring(gram, 2)")).join(lower.select(F.col("gram").alias("rest"), F.col("p").alias("below")), "rest")
+        else:
+            wide = wide.withColumn("below", F.array(*[F.lit(1 / vocabulary)] * len(langs)))
+        shares = [F.greatest(F.lit(0.0), F.col("c")[i] - F.lit(d)) / F.greatest(F.col("total")[i], F.lit(1.0)) + F.col("weight")[i] * F.col("below")[i] for i, d in enumerate(discounts)]
+        lower = stored(wide.select("gram", F.array(*shares).alias("p")), f"shares-{n}")
+        for name, table in ((f"grams-{n}", lower.select("gram", "p")), (f"weights-{n}", heads.select("head", "weight"))):
+            table.mapInArrow(_logs, "key long, logs array<float>").orderBy("key").write.parquet(f"{uri}/{name}")
+    return Mapped(uri, langs, vocabulary)
+
+
 class Scorer:
     """Scores texts with a model; remembers tokens it has scored."""
 
@@ -251,7 +352,7 @@ def _score(model):
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, lang_pred, score, cross_entropy, rejected) of each row; only the text is read for it."""
     prepare(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most MAX_GRAMS n-grams
+    shared = docs.sparkSession.sparkContext.broadcast(model)
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return narrow.mapInArrow(_score(shared), "doc_id long, lang_pred string, score double, cross_entropy double, rejected boolean")
 
@@ -275,15 +376,11 @@ def predict(text: Column, model: Model) -> Column:
     return found.asNondeterministic()(text)
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_grams: int = MAX_GRAMS) -> Model:
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """Models of every language of the rows that aren't held out, with limits of rejection."""
     prepare(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).alias("lang")).where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull())
-    most = gram_counts(rows).orderBy(F.desc("n"), "lang", "gram").limit(max_grams)
-    counts: dict[str, dict[str, int]] = defaultdict(dict)
-    for lang, gram, n in zip(*(c.to_pylist() for c in most.toArrow().select(["lang", "gram", "n"]).columns)):
-        counts[lang][gram] = n
-    model = Model(counts)
+    model = build(gram_counts(rows))
     chosen = [r[0] for r in rows.where("doc_id is not null and text is not null").select("doc_id", F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").limit(CALIBRATION).collect()]
     scored = score(rows.where(F.col("doc_id").isin(chosen)), model).where("cross_entropy is not null").select("lang_pred", "cross_entropy").collect()
     for k, lang in enumerate(model.langs):
