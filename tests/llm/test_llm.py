@@ -219,6 +219,21 @@ def test_large_alphabet_leaves_rare_language(spark):
     assert langid.Scorer(model).texts([rare])[0][0] == "au"
 
 
+def test_limits_of_all_training_texts(spark):
+    """A language of two among 4,000 texts has a limit, as has one that no training text was given."""
+    ids = [i for i in range(6000) if zlib.crc32(str(i).encode()) % 5][:4000]
+    place = lambda i: int.from_bytes(xxhash.xxh64_digest(i.to_bytes(8, "little"), 42), signed=True)
+    rare = set(sorted(ids, key=place)[-2:])  # not among those of least hash
+    rows = [(i, "quokka numbat bilby dunnart potoroo" if i in rare else f"the cat sat on the mat {i % 7}", "au" if i in rare else "en") for i in ids]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(docs)
+    assert model.langs == ["au", "en"] and all(0 < x < float("inf") for x in model.limits)
+    assert [x[3] for x in langid.Scorer(model).texts(["quokka numbat", "zzq qqk kkq qzk"])] == [False, True]
+    got = langid.set_limits(model, spark.createDataFrame([("en", 2.0), ("en", 2.0)], "lang_pred string, cross_entropy double"))
+    assert abs(got.limits - 2 * langid.MARGIN).max() < 1e-3
+    assert not any(r.rejected for r in langid.identify(docs).collect())
+
+
 def test_quality(spark, odd):
     docs, labels = (spark.read.parquet(f"{SF.parent}/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     rows = quality.classify(docs, labels).join(labels, "doc_id").where("held_out").collect()

@@ -12,8 +12,10 @@ arrays in the shared folder; each machine copies them to its temporary folder
 once and its workers map the copy, so neither the driver nor a worker holds them.
 
 A text's language is that of the lowest cross-entropy by character. It is
-rejected if that exceeds the language's limit: the ``QUANTILE`` of a bounded
-sample of training texts, with a margin.
+rejected if that exceeds the language's limit: with a margin, the ``QUANTILE``
+of all training texts that were given the language, or of those of all
+languages if none was. Cross-entropies are counted in steps of ``STEP`` for it,
+rounded up, so that what an aggregate holds doesn't grow with the rows.
 
 Case handling: null text and texts without letters are ``und`` with score 0 and
 rejected; null languages teach nothing; without training rows all texts are
@@ -41,8 +43,8 @@ from pyspark.sql import functions as F
 from tidelog.llm.common import prepare, stored, work_dir
 
 ORDER = 5
-#: Training texts from which rejection limits are taken, the quantile of theirs and the factor on it.
-CALIBRATION, QUANTILE, MARGIN = 2000, 0.999, 1.6
+#: Quantile of the training texts from which rejection limits are taken, the factor on it, and the step of its values.
+QUANTILE, MARGIN, STEP = 0.999, 1.6, 1e-4
 #: Characters of tokens a worker remembers, and distinct tokens or n-grams it counts before it passes them on.
 CACHED, COUNTED = 1_500_000, (80_000, 150_000)
 BASE, TOP = 0x9E3779B97F4A7C15, np.uint64(1 << 63)
@@ -344,17 +346,17 @@ def _score(model):
         scorer = Scorer(model.value)
         for part in parts:
             lang, score, entropy, rejected = zip(*scorer.texts(part.column(1).to_pylist())) if len(part) else ((),) * 4
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(entropy, pa.float64()), pa.array(rejected, pa.bool_())], ["doc_id", "lang_pred", "score", "cross_entropy", "rejected"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(entropy, pa.float64()), pa.array(rejected, pa.bool_()), part.column(2)], ["doc_id", "lang_pred", "score", "cross_entropy", "rejected", "learned"])
 
     return run
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, lang_pred, score, cross_entropy, rejected) of each row; only the text is read for it."""
+def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", learned: Column | None = None) -> DataFrame:
+    """(doc_id, lang_pred, score, cross_entropy, rejected, learned) of each row; learned is passed through."""
     prepare(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return narrow.mapInArrow(_score(shared), "doc_id long, lang_pred string, score double, cross_entropy double, rejected boolean")
+    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), (F.lit(True) if learned is None else learned).alias("learned"))
+    return narrow.mapInArrow(_score(shared), "doc_id long, lang_pred string, score double, cross_entropy double, rejected boolean, learned boolean")
 
 
 def predict(text: Column, model: Model) -> Column:
@@ -376,20 +378,33 @@ def predict(text: Column, model: Model) -> Column:
     return found.asNondeterministic()(text)
 
 
+def _training(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).alias("lang"))
+    return rows.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull())
+
+
+def set_limits(model: Model, scored: DataFrame) -> Model:
+    """Limits of rejection from (lang_pred, cross_entropy) of all training texts."""
+    steps = scored.where("cross_entropy is not null").groupBy("lang_pred", F.ceil(F.col("cross_entropy") / STEP).alias("step")).count()
+    found = {r[0]: r[1] * STEP for r in steps.rollup("lang_pred").agg(F.percentile("step", F.lit(QUANTILE), F.col("count"))).collect() if r[1] is not None}
+    model.limits = MARGIN * np.array([found.get(lang, found.get(None, np.inf)) for lang in model.langs])
+    return model
+
+
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """Models of every language of the rows that aren't held out, with limits of rejection."""
     prepare(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).alias("lang")).where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull())
+    rows = _training(docs, id_col, text_col, lang_col)
     model = build(gram_counts(rows))
-    chosen = [r[0] for r in rows.where("doc_id is not null and text is not null").select("doc_id", F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").limit(CALIBRATION).collect()]
-    scored = score(rows.where(F.col("doc_id").isin(chosen)), model).where("cross_entropy is not null").select("lang_pred", "cross_entropy").collect()
-    for k, lang in enumerate(model.langs):
-        if own := [r[1] for r in scored if r[0] == lang]:
-            model.limits[k] = MARGIN * np.quantile(own, QUANTILE)
-    return model
+    return set_limits(model, score(rows, model).select("lang_pred", "cross_entropy"))
 
 
 def identify(docs: DataFrame) -> DataFrame:
     """Trains on the rows that aren't held out and scores all: doc_id, held_out, lang_pred, score, cross_entropy, rejected."""
-    scored = score(docs, train(docs))
-    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "cross_entropy", "rejected")
+    prepare(docs.sparkSession)
+    model = build(gram_counts(_training(docs, "doc_id", "text", "lang")))
+    scored = stored(score(docs, model, learned=~held_out(F.col("doc_id").cast("long")) & F.col("lang").isNotNull()), "scored")
+    set_limits(model, scored.where("learned"))
+    limits = F.create_map(*[F.lit(x) for pair in zip(model.langs, model.limits.tolist()) for x in pair]) if model.langs else F.lit(None).cast("map<string, double>")
+    rejected = F.coalesce(F.col("cross_entropy") > limits[F.col("lang_pred")], F.lit(True))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "cross_entropy", rejected.alias("rejected"))
