@@ -286,6 +286,15 @@ def test_html(spark):
     assert sorted((r.page_id or 0, r.n_chars) for r in got) == sorted([(1, 87), (1, 87), (0, 0), (2, 0), (3, 300_000), (4, 1), (5, 0)]) and all(r.n_chars == len(r.text) for r in got)
 
 
+def test_html_ratios_choose_in_landmarks():
+    long = "A sentence of the text that goes on for a good while, as they do. " * 4
+    links = "".join(f"<div><span><a href='/{i}'><b>Link {i}</b></a></span></div>" for i in range(12))
+    one = html_text.main_text(f"<body><article><p>{long}</p><p>Short.</p><p>{long}</p>{links}</article>")
+    assert "Short." in one and one.count("A sentence") == 8 and "Link 9" not in one
+    both = html_text.main_text(f"<body><main><p>Introduction. {long}</p><article><p>First. {long}</p></article><article><p>Second. {long}</p><article><p>Nested. {long}</p></article></article></main>")
+    assert all(w in both for w in ("Introduction.", "First.", "Second.", "Nested."))
+
+
 @pytest.mark.parametrize("version", [1, 2])
 def test_warc(spark, version):
     rows = [(1, "http://a b/é", "<p>x"), (2, None, "<p>x"), (2, "v", "<p>x"), (None, "u", None), (3, "u", ""), (4, "q", "a\r\n\r\nb é"), (None, "n", "only")]

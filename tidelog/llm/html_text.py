@@ -4,10 +4,10 @@ The parser's events become lines, one for each block: its text, its tags, and
 where it stands. A line's ratio is its characters by tag, 0 in what the markup
 itself sets apart (menus, headers and footers of the page, asides, adverts,
 notices, forms, comments). Ratios are smoothed by a Gaussian and cut at a share
-of their deviation; lines above are content clusters. If the page marks an
-article or main part, the one with most content text is the region and all its
-lines that aren't set apart belong to it, short ones too; else the region is
-the clusters and the lines between them.
+of their deviation; lines above are content clusters. If most of their text
+lies in articles or main parts, nested or side by side, these are the region: in
+each, lines from a lower cut (``EVIDENCE``) on and those between them; else the
+region is the clusters and the lines between them.
 
 Case handling: null html is empty; a page without text, or with nothing left,
 gives the empty text; unclosed and stray tags are borne (an end tag closes back
@@ -30,6 +30,8 @@ from tidelog.llm.common import prepare, texts
 
 #: Deviation and reach of the Gaussian in lines; share of the ratios' deviation at which they are cut.
 SIGMA, REACH, CUT = 1.0, 2, 0.5
+#: Factor on the cut within articles and main parts.
+EVIDENCE = 0.1
 UNSEEN = frozenset("script style noscript template head title svg math iframe object canvas select textarea button datalist audio video".split())
 APART = frozenset("nav footer aside form menu dialog".split())
 BLOCKS = frozenset("address article aside blockquote body br caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
@@ -112,14 +114,14 @@ def region(lines: list[tuple[str, int, bool, int]]) -> list[str]:
     """Texts of the lines that belong to the page's content."""
     ratios = np.array([0.0 if apart else len(text) / max(1, tags) for text, tags, apart, _ in lines])
     smooth = smoothed(ratios)
-    chosen = (smooth >= CUT * smooth.std()) & (ratios > 0)
-    mass: dict[int, int] = {}
-    for (text, _, apart, landmark), c in zip(lines, chosen):
-        if landmark and not apart:
-            mass[landmark] = mass.get(landmark, 0) + len(text) * (1 + bool(c))
-    if mass:
-        best = max(mass, key=lambda k: (mass[k], -k))
-        return [text for text, _, apart, landmark in lines if landmark == best and not apart]
+    cut = CUT * smooth.std()
+    chosen = (smooth >= cut) & (ratios > 0)
+    size = np.array([len(text) for text, *_ in lines])
+    marks = np.array([landmark for *_, landmark in lines])
+    if 2 * size[chosen & (marks > 0)].sum() >= max(1, size[chosen].sum()):
+        likely = (smooth >= EVIDENCE * cut) & (ratios > 0)
+        ends = {k: np.flatnonzero(likely & (marks == k))[[0, -1]] for k in set(marks[likely].tolist()) if k}
+        return [text for i, (text, _, apart, k) in enumerate(lines) if k in ends and not apart and ends[k][0] <= i <= ends[k][1]]
     at = np.flatnonzero(chosen)
     return [x[0] for x in lines[at[0] : at[-1] + 1] if not x[2]] if len(at) else []
 
