@@ -295,6 +295,16 @@ def test_html_ratios_choose_in_landmarks():
     assert all(w in both for w in ("Introduction.", "First.", "Second.", "Nested."))
 
 
+@pytest.mark.parametrize("name", ["content-sidebar-wrap", "layout has-sidebar", "no-sidebar", "post-with-comments", "page-header-wrapper", "sidebar"])
+def test_html_names_of_wrappers(name):
+    long = "A sentence of the text that goes on for a good while, as they do. " * 4
+    for tag in ("article", "section"):
+        assert html_text.main_text(f"<body><div class='{name}'><{tag}><p>{long}</p></{tag}></div><div class='social'>Follow us</div></body>") == long.strip()
+    both = html_text.main_text(f"<body><article><p>{long}</p></article><div id='comments'><article><p>{long} Nice.</p></article></div></body>")
+    assert both == long.strip()
+    assert html_text.main_text(f"<div class='widget'>{long}</div><div class='tags'>{long}</div>")
+
+
 @pytest.mark.parametrize("version", [1, 2])
 def test_warc(spark, version):
     rows = [(1, "http://a b/é", "<p>x"), (2, None, "<p>x"), (2, "v", "<p>x"), (None, "u", None), (3, "u", ""), (4, "q", "a\r\n\r\nb é"), (None, "n", "only")]

@@ -3,7 +3,9 @@
 The parser's events become lines, one for each block: its text, its tags, and
 where it stands. A line's ratio is its characters by tag, 0 in what the markup
 itself sets apart (menus, headers and footers of the page, asides, adverts,
-notices, forms, comments). Ratios are smoothed by a Gaussian and cut at a share
+notices, forms, comments). Names of classes and ids count by whole words of the
+attribute, and not where they set apart all of the page's text or, unless an
+article or main part stands outside them, such a part or most of the text. Ratios are smoothed by a Gaussian and cut at a share
 of their deviation; lines above are content clusters. If most of their text
 lies in articles or main parts, nested or side by side, these are the region: in
 each, lines from a lower cut (``EVIDENCE``) on and those between them; else the
@@ -18,6 +20,7 @@ rows, ties and further columns change nothing.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -38,7 +41,10 @@ BLOCKS = frozenset("address article aside blockquote body br caption center dd d
 HELD = frozenset("article aside blockquote body details dialog div dl fieldset figure footer form header main menu nav ol section table ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
-NAMES = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|alert|side-?bar|side|menu|nav|navbar|navigation|breadcrumbs?|share|sharing|social|comments?|commentlist|disqus|respond|replies|related|recommended|newsletter|subscribe|signup|login|pop-?up|modal|overlay|footer|masthead|site-header|page-header|header|widgets?|toolbar|pagination|pager|tags)(?:$|[\s_-])", re.I)
+#: Names that set apart; a word of a class or id is one, or several and parts that say nothing, joined by hyphens.
+NAME = r"(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|alert|side-?bar|side|menu|nav|navbar|navigation|breadcrumbs?|share|sharing|social|comments?|commentlist|disqus|respond|replies|related|recommended|newsletter|subscribe|signup|login|pop-?up|modal|overlay|footer|masthead|site-header|page-header|header|widgets?|toolbar|pagination|pager|tags)"
+PLAIN = r"(?:\d+|bars?|box|block|buttons?|links?|list|top|bottom|left|right|primary|secondary|site|page|main|post|section|area|inner)"
+NAMES = re.compile(rf"(?:{PLAIN}[_-]+)*{NAME}(?:[_-]+(?:{NAME}|{PLAIN}))*", re.I)
 
 
 class Lines(HTMLParser):
@@ -47,14 +53,16 @@ class Lines(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.lines: list[tuple[str, int, bool, int]] = []
-        self.open: list[tuple[str, bool, bool, int]] = []  # tag, unseen, set apart, landmark: with what stands around
+        self.open: list[tuple[str, bool, bool, int, frozenset[int]]] = []  # tag, unseen, set apart, landmark, elements set apart by name: with what stands around
         self.text: list[str] = []
-        self.tags = self.marks = 0
+        self.by_name: list[frozenset[int]] = []  # of each line: elements around it that are set apart by name
+        self.tags = self.marks = self.names = 0
 
     def _line(self) -> None:
         if text := " ".join("".join(self.text).split()):
-            _, _, apart, landmark = self.open[-1] if self.open else ("", False, False, 0)
+            _, _, apart, landmark, by_name = self.open[-1] if self.open else ("", False, False, 0, frozenset())
             self.lines.append((text, self.tags, apart, landmark))
+            self.by_name.append(by_name)
             self.tags = 0
         self.text.clear()
 
@@ -66,18 +74,22 @@ class Lines(HTMLParser):
                 self.open.pop()
         if tag in VOID:
             return
-        _, unseen, apart, landmark = self.open[-1] if self.open else ("", False, False, 0)
+        _, unseen, apart, landmark, by_name = self.open[-1] if self.open else ("", False, False, 0, frozenset())
         named = dict(attrs)
         sets = tag in APART or tag == "header" and not landmark or "hidden" in named or (named.get("aria-hidden") or "") == "true"
         if not sets and tag not in ("html", "body", "main"):
-            sets = (named.get("role") or "").lower() in ROLES or any(NAMES.search(named.get(k) or "") for k in ("class", "id"))
-        if tag in ("article", "main") and not (sets or apart):
+            sets = (named.get("role") or "").lower() in ROLES
+        name = not sets and tag not in ("html", "body", "main") and any(NAMES.fullmatch(w) for k in ("class", "id") for w in (named.get(k) or "").split())
+        if name:
+            self.names += 1
+            by_name = by_name | {self.names}
+        if tag in ("article", "main") and not (sets or apart or name):
             self.marks += 1
             landmark = self.marks
-        if tag in HELD or tag in UNSEEN or sets:
-            if not tag in BLOCKS and sets:
+        if tag in HELD or tag in UNSEEN or sets or name:
+            if not tag in BLOCKS and (sets or name):
                 self._line()
-            self.open.append((tag, unseen or tag in UNSEEN, apart or sets, landmark))
+            self.open.append((tag, unseen or tag in UNSEEN, apart or sets, landmark, by_name))
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in VOID:
@@ -89,7 +101,7 @@ class Lines(HTMLParser):
     def handle_endtag(self, tag: str) -> None:
         self.tags += 1
         at = next((i for i in range(len(self.open) - 1, -1, -1) if self.open[i][0] == tag), None)
-        if tag in BLOCKS or at is not None and self.open[at][2]:
+        if tag in BLOCKS or at is not None and (self.open[at][2] or self.open[at][4]):
             self._line()
         if at is not None:
             del self.open[at:]
@@ -101,6 +113,21 @@ class Lines(HTMLParser):
     def close(self) -> None:
         super().close()
         self._line()
+        self._apply_names()
+
+    def _apply_names(self) -> None:
+        """Sets lines apart by names, except by those that hold the content."""
+        shown = [(len(text), landmark, names) for (text, _, apart, landmark), names in zip(self.lines, self.by_name) if not apart]
+        freed: set[int] = set()
+        if not any(landmark and not names for _, landmark, names in shown):
+            size: Counter = Counter()
+            for n, landmark, names in shown:
+                size.update(dict.fromkeys(names, n))
+                freed.update(names if landmark else ())
+            freed.update(k for k, n in size.items() if 2 * n > sum(n for n, *_ in shown))
+        if all(names - freed for *_, names in shown):
+            freed.update(*(names for *_, names in shown))
+        self.lines = [(text, tags, apart or bool(names - freed), landmark) for (text, tags, apart, landmark), names in zip(self.lines, self.by_name)]
 
 
 def smoothed(ratios: np.ndarray) -> np.ndarray:
