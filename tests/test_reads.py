@@ -101,6 +101,7 @@ def test_golden_vectors(spark):
     assert got == prints | {k: fingerprint_of(k.encode()) for k in more}
     sums = {"": 0, "a": 2477592673, "key1": 104638944, "123456789": 1491335712}
     assert {k: crc32c_of(k.encode()) for k in sums} == sums
+    sums |= {k: crc32c_of(k.encode()) for k in more}
     df = spark.createDataFrame([(k,) for k in sums], "k string")
     assert {r.k: r.c for r in df.select("k", crc32c("k").alias("c")).collect()} == sums
 
@@ -111,6 +112,38 @@ def test_bloom(spark):
     bits = pruning.bloom_bits(keys)
     assert sum(1 << r.bit for r in bits.collect()).to_bytes(8, "little").hex() == "1c8a8986ba4860be"
     assert pruning.bloom_probe(bits, keys).count() == 5
+    packed = pruning.bloom_bytes(bits)
+    assert packed.first().filter.hex() == "1c8a8986ba4860be06"
+    assert sorted(map(tuple, pruning.bloom_from_bytes(packed).collect())) == sorted(map(tuple, bits.select("run_id", "k", "nbits", "bit").collect()))
+    plan = pruning.bloom_probe(bits, keys)._jdf.queryExecution().executedPlan().toString()
+    assert "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+def test_block_lookup(spark):
+    """Keys that all begin alike are dealt to several tasks; the order holds over their borders."""
+    rng = random.Random(4)
+    starts = sorted({f"key{rng.randrange(5000):05d}" for _ in range(200)})
+    probes = {f"key{rng.randrange(5200):05d}" for _ in range(1500)} | {"a", "z", *starts[:20]}
+    blocks = spark.createDataFrame([(k, i + 7) for i, k in enumerate(starts)], "first_key string, block long")
+    found = pruning.block_of(spark.createDataFrame([(k,) for k in probes], "user_key string").repartition(3), blocks)
+    want = {k: max((i + 7 for i, s in enumerate(starts) if s <= k), default=0) for k in probes}
+    assert {r.user_key: r.block for r in found.collect()} == want
+    assert pruning.block_of(spark.createDataFrame([("b",)], "user_key string"), blocks.limit(0)).first().block == 0
+
+
+def test_block_size(spark):
+    from pyspark.sql import functions as F
+
+    row = spark.range(1).select(pruning.block_estimate(100, 3), pruning.entry_bytes(F.lit("key12"), F.lit(3), F.lit("value")), pruning.fits(F.lit(4000), F.lit(90), 4096), pruning.fits(F.lit(4000), F.lit(91), 4096), pruning.fits(F.lit(2), F.lit(9999), 4096)).first()
+    assert tuple(row) == (108, 21, True, False, True)
+
+
+def test_garbage_of_a_hot_key(spark):
+    """A key with most versions isn't sorted in one task: its newest is a maximum."""
+    rows = [("hot", ts, str(ts)) for ts in range(1, 400)] + [("cold", 5, None), ("late", 390, "x")]
+    kept = mvcc.collect_garbage(spark.createDataFrame(rows, LOG), 395)
+    assert versions(kept) == {"hot@395", "hot@396", "hot@397", "hot@398", "hot@399", "late@390"}
+    assert "Window" not in kept._jdf.queryExecution().executedPlan().toString()
 
 
 def test_plan_pushes_filters(spark, tmp_path, log):

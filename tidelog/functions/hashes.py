@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # Multipliers of the fingerprint, polynomial of CRC-32C (reflected).
 K, P1, P2 = 0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D
@@ -77,13 +74,17 @@ def fingerprint32(column: str | Column) -> Column:
     return F.aggregate(steps, mixed, step)
 
 
-_TABLE = np.zeros(256, np.uint32)
-for _i in range(256):
-    _c = _i
-    for _ in range(8):
-        _c = _c >> 1 ^ (POLYNOMIAL if _c & 1 else 0)
-    _TABLE[_i] = _c
-_STEPS = _TABLE.tolist()
+def _steps() -> list[int]:
+    """What eight steps of the polynomial make of each byte."""
+    table = []
+    for c in range(256):
+        for _ in range(8):
+            c = c >> 1 ^ (POLYNOMIAL if c & 1 else 0)
+        table.append(c)
+    return table
+
+
+_STEPS = _steps()
 
 
 def crc32c_of(data: bytes) -> int:
@@ -95,13 +96,20 @@ def crc32c_of(data: bytes) -> int:
 
 
 def crc32c(column: str | Column) -> Column:
-    """Checksum of a string or binary column as a long; null for null. Spark's own crc32 is of another polynomial."""
+    """Checksum of a string or binary column as a long; null for null. Spark's own crc32 is of another polynomial.
+
+    A fold over the bytes, read from the hexadecimal form, by a table of 256.
+    """
+    c = F.col(column) if isinstance(column, str) else column
+    digits = F.hex(c.cast("binary"))
+    places = F.when(F.octet_length(c) > 0, F.sequence(F.lit(1), F.octet_length(c))).otherwise(F.array().cast("array<int>"))
+    table = F.array(*(F.lit(x).cast("long") for x in _STEPS))
 
-    @F.arrow_udf(T.LongType())
-    def checksum(values: pa.Array) -> pa.Array:
-        return pa.array([None if x is None else crc32c_of(x) for x in values.cast(pa.binary()).to_pylist()], pa.int64())
+    def step(crc: Column, at: Column) -> Column:
+        byte = F.conv(F.substr(digits, at * 2 - 1, F.lit(2)), 16, 10).cast("long")
+        return F.shiftright(crc, 8).bitwiseXOR(F.get(table, crc.bitwiseXOR(byte).bitwiseAND(F.lit(255)).cast("int")))
 
-    return checksum(F.col(column) if isinstance(column, str) else column)
+    return F.when(c.isNotNull(), F.aggregate(places, F.lit(0).cast("long"), step))
 
 
 def common_prefix(a: Column, b: Column) -> Column:

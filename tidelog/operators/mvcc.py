@@ -7,7 +7,7 @@ read timestamp are filtered below it and reach the scan.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.plans.model import UNBOUNDED, Bound, within
@@ -64,18 +64,17 @@ def collect_garbage(log: DataFrame, watermark: int, bottom: bool = True, prefix:
 
     Of versions at or below it the newest stays, unless it is a deletion, the
     newest of all, and the output is the bottom; or its key has the filtered
-    prefix. Both ranks share one shuffle and sort.
+    prefix. The newest is a maximum, summed up in each task first, so a key with
+    many versions is no task's burden; versions above the watermark aren't moved.
     """
     old = F.col("ts") <= watermark
-    every = Window.partitionBy("user_key").orderBy(F.desc("ts"))
-    # newest first: the rows above the first old one are exactly the newer ones
-    ranked = log.withColumn("rank", F.row_number().over(every)).withColumn("newer", F.sum(F.when(old, 0).otherwise(1)).over(every))
-    keep = F.col("rank") == F.col("newer") + 1
+    latest = log.groupBy("user_key").agg(F.max(F.when(old, F.struct("ts", "value"))).alias("v"), F.max("ts").alias("last"))
+    keep = F.col("v").isNotNull()
     if bottom:
-        keep &= ~((F.col("rank") == 1) & F.col("value").isNull())
+        keep &= ~((F.col("v.ts") == F.col("last")) & F.col("v.value").isNull())
     if prefix is not None:
         keep &= ~F.col("user_key").startswith(prefix)
-    return ranked.where(~old | keep).select(*log.columns)
+    return log.where(~old).select("user_key", "ts", "value").unionByName(latest.where(keep).select("user_key", "v.ts", "v.value"))
 
 
 def last_write_wins(batch: DataFrame) -> DataFrame:

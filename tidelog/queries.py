@@ -13,7 +13,9 @@ from tidelog.operators import merge, mvcc, pruning
 from tidelog.operators.compaction import MIB, Layout, Leveled, Run, SimpleLeveled, Tiered
 from tidelog.plans.model import UNBOUNDED, Bound, excluded, from_internal, included
 from tidelog.plans.session import importable
-from tidelog.streaming.ingest import latest_per_key
+from tidelog.sources.files import work_dir
+from tidelog.sources.store import Options, Store, Transaction
+from tidelog.streaming.ingest import ingest, newest_versions
 
 PREFIX, LO, HI = "user_14", "user_12", "user_5"
 TARGET = 65536
@@ -148,12 +150,13 @@ def kway_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.merge_tagged(runs.unionByName(shadowed))
 
 
-OVERLAY = "o AS (SELECT 'user_' || c_custkey AS user_key, CASE WHEN c_custkey % 3 <> 0 THEN c_mktsegment END AS value FROM customer WHERE c_custkey <= 100)"
+OVERLAY = "o AS (SELECT 'user_' || 2 * c_custkey AS user_key, CASE WHEN c_custkey % 3 <> 0 THEN c_mktsegment END AS value FROM customer)"
 
 
 def overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.read.parquet(f"{sf_dir}/customer.parquet").where("c_custkey <= 100")
-    return rows.select(F.concat(F.lit("user_"), "c_custkey").alias("user_key"), F.when(F.col("c_custkey") % 3 != 0, F.col("c_mktsegment")).alias("value"))
+    """A transaction's writes of every customer, a third of them deletions; odd users aren't written."""
+    rows = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    return rows.select(F.concat(F.lit("user_"), 2 * F.col("c_custkey")).alias("user_key"), F.when(F.col("c_custkey") % 3 != 0, F.col("c_mktsegment")).alias("value"))
 
 
 @query("two_way_overlay", f"WITH {LOG}, a AS (SELECT user_key, ts, 'newer' AS value FROM log WHERE ts % 2 = 0) SELECT * FROM a UNION ALL SELECT * FROM log ANTI JOIN a USING (user_key, ts)")
@@ -238,10 +241,10 @@ def txn_overlay_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.overlay_scan(overlay(spark, sf_dir), log, ts=last_ts(log) // 2)
 
 
-@query("txn_overlay_get", f"WITH {LOG}, {OVERLAY}, v AS ({_visible()}), w AS (SELECT 'user_' || c_custkey AS user_key FROM customer WHERE c_custkey <= 200) SELECT w.user_key, CASE WHEN o.user_key IS NOT NULL THEN o.value ELSE v.value END AS value FROM w LEFT JOIN o ON o.user_key = w.user_key LEFT JOIN v ON v.user_key = w.user_key")
+@query("txn_overlay_get", f"WITH {LOG}, {OVERLAY}, v AS ({_visible()}), w AS (SELECT 'user_' || c_custkey AS user_key FROM customer) SELECT w.user_key, CASE WHEN o.user_key IS NOT NULL THEN o.value ELSE v.value END AS value FROM w LEFT JOIN o ON o.user_key = w.user_key LEFT JOIN v ON v.user_key = w.user_key")
 def txn_overlay_get(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = events_log(spark, sf_dir)
-    keys = spark.read.parquet(f"{sf_dir}/customer.parquet").where("c_custkey <= 200").select(F.concat(F.lit("user_"), "c_custkey").alias("user_key"))
+    keys = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.concat(F.lit("user_"), "c_custkey").alias("user_key"))
     return merge.overlay_get(overlay(spark, sf_dir), log, keys, last_ts(log) // 2)
 
 
@@ -283,9 +286,10 @@ SELECT run, count(*) AS n_rows, CAST(max(held) AS BIGINT) AS bytes FROM f GROUP
 def freeze_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where memory runs freeze: a fold over commits in order.
 
-    A fold has one carrier, but only sums of a thousand commits go to it
-    first: a freeze falls in a block whose sum crosses the target, and each
-    step takes the block's sizes as one array.
+    Where a run ends depends on where the one before did, so the fold has one
+    carrier. It gets a size of eight bytes for each commit, as arrays of a
+    thousand, and holds three numbers. The store itself freezes as it commits
+    and never runs this.
     """
     sized = events_log(spark, sf_dir).select("ts", mvcc.row_bytes().alias("n"))
     blocks = sized.groupBy(F.floor((F.col("ts") - 1) / 1000).alias("block")).agg(F.transform(F.array_sort(F.collect_list(F.struct("ts", "n"))), lambda x: x.n).alias("sizes"))
@@ -329,11 +333,12 @@ OCC_SQL = "WITH t AS (SELECT l_orderkey + 1 AS c, l_suppkey AS k, l_returnflag A
 Q["occ_conflicts"] = (partial(_occ, key=lambda k: k), OCC_SQL)
 Q["occ_conflicts_hash"] = (partial(_occ, key=lambda k: fingerprint32(F.format_string("supplier_%06d", k))), OCC_SQL)
 
-READERS = "readers AS (SELECT o_orderkey AS read_ts FROM orders WHERE o_orderstatus = 'O' AND o_orderkey > 100)"
+READERS = "readers AS (SELECT o_orderkey + 100 AS read_ts FROM orders WHERE o_orderstatus = 'O')"
 
 
 def readers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_orderstatus = 'O' and o_orderkey > 100").select(F.col("o_orderkey").alias("read_ts"))
+    """Open orders as readers, each at a hundred commits after its order."""
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_orderstatus = 'O'").select((F.col("o_orderkey") + 100).alias("read_ts"))
 
 
 @query("watermark", f"WITH {READERS} SELECT coalesce(min(read_ts), (SELECT max(event_id) + 1 FROM events)) AS watermark FROM readers")
@@ -406,14 +411,44 @@ def bloom_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pruning.bloom_bits(bloom_keys(spark, sf_dir))
 
 
-@query("bloom_probe", f"WITH {BLOOM}, p AS (SELECT DISTINCT c_name || 'x' AS user_key FROM customer WHERE c_custkey % 10 = 0 UNION SELECT c_name FROM customer WHERE c_custkey % 10 = 1), h AS ({fingerprint_sql('user_key', 'p')}), q AS (SELECT DISTINCT run_id, user_key, ((fp + i * (((fp << 15) | (fp >> 17)) & 4294967295)) & 4294967295) % nbits AS bit FROM h, sized, range(6) AS r(i)) SELECT run_id, user_key FROM q LEFT JOIN bits USING (run_id, bit) GROUP BY run_id, user_key HAVING count(*) = count(k)")
+PAIRS = "p AS (SELECT CAST(c_nationkey AS BIGINT) AS run_id, c_name AS user_key FROM customer UNION SELECT CAST((c_nationkey + 1) % 25 AS BIGINT), c_name FROM customer UNION SELECT CAST(c_nationkey AS BIGINT), c_name || 'x' FROM customer)"
+
+
+@query("bloom_probe", f"WITH {BLOOM}, {PAIRS}, h AS ({fingerprint_sql('user_key', 'p')}), q AS (SELECT DISTINCT run_id, user_key, ((fp + i * (((fp << 15) | (fp >> 17)) & 4294967295)) & 4294967295) % nbits AS bit FROM h JOIN sized USING (run_id), range(6) AS r(i)) SELECT run_id, user_key FROM q LEFT JOIN bits USING (run_id, bit) GROUP BY run_id, user_key HAVING count(*) = count(k)")
 def bloom_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    customers = spark.read.parquet(f"{sf_dir}/customer.parquet")
-    probes = customers.where("c_custkey % 10 = 0").select(F.concat("c_name", F.lit("x")).alias("user_key")).union(customers.where("c_custkey % 10 = 1").select("c_name"))
-    return pruning.bloom_probe(pruning.bloom_bits(bloom_keys(spark, sf_dir)), probes)
+    """Every customer asked of its own run, of the next one, and in another spelling of its own."""
+    keys = bloom_keys(spark, sf_dir)
+    asked = keys.unionByName(keys.withColumn("run_id", (F.col("run_id") + 1) % 25)).unionByName(keys.withColumn("user_key", F.concat("user_key", F.lit("x"))))
+    return pruning.bloom_probe(pruning.bloom_bits(keys), asked)
+
+
+@query("bloom_bytes", f"WITH {BLOOM}, held AS (SELECT run_id, bit // 8 AS place, bit_or(1 << CAST(bit % 8 AS INTEGER)) AS byte FROM bits GROUP BY ALL), every AS (SELECT run_id, u.place FROM sized, unnest(range(nbits // 8)) AS u(place)) SELECT run_id, string_agg(printf('%02X', CAST(coalesce(byte, 0) AS INTEGER)), '' ORDER BY place) || '06' AS filter FROM every LEFT JOIN held USING (run_id, place) GROUP BY run_id")
+def bloom_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each run's filter as bytes, shown in hexadecimal."""
+    return pruning.bloom_bytes(pruning.bloom_bits(bloom_keys(spark, sf_dir))).select("run_id", F.hex("filter").alias("filter"))
+
+
+@query("bloom_from_bytes", f"WITH {BLOOM} SELECT * FROM bits")
+def bloom_from_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bits of filters that were written as bytes."""
+    return pruning.bloom_from_bytes(pruning.bloom_bytes(pruning.bloom_bits(bloom_keys(spark, sf_dir))))
 
 
-@query("crc32c", None)
+@query("block_estimate", "WITH b AS (SELECT c_custkey // 100 AS block, min(c_name) AS first_key FROM customer GROUP BY 1), e AS (SELECT CAST(c_custkey // 100 AS BIGINT) AS block, 14 + length(c_name) - coalesce(list_min(list_filter(range(1, length(c_name) + 1), lambda i: substr(c_name, i, 1) <> substr(first_key, i, 1))) - 1, length(c_name)) + length(c_mktsegment) AS n FROM customer JOIN b ON b.block = c_custkey // 100) SELECT block, count(*) AS n_entries, CAST(sum(n) + 2 * count(*) + 2 AS BIGINT) AS estimate, CAST(sum(n) + 2 * (count(*) - 1) + 2 <= 4096 - 6 AS BOOLEAN) AS fits FROM e GROUP BY block")
+def block_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks of a hundred customers: their size, and whether the last entry was let in."""
+    customers = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.floor(F.col("c_custkey") / 100).cast("long").alias("block"), "c_name", "c_mktsegment")
+    first = customers.groupBy("block").agg(F.min("c_name").alias("first_key"))
+    entry = pruning.entry_bytes(F.col("c_name"), common_prefix(F.col("c_name"), F.col("first_key")), F.col("c_mktsegment"))
+    sized = customers.join(first, "block").groupBy("block").agg(F.count("*").alias("n_entries"), F.sum(entry).alias("bytes"), F.min(entry).alias("least"))
+    before = pruning.block_estimate(F.col("bytes") - F.col("least"), F.col("n_entries") - 1)
+    return sized.select("block", "n_entries", pruning.block_estimate(F.col("bytes"), F.col("n_entries")).alias("estimate"), pruning.fits(before, F.col("least"), 4096).alias("fits"))
+
+
+CRC_SQL = "list_reduce(list_prepend(CAST(0 AS BIGINT), list_transform(range(length(c_name)), lambda i: CAST(ascii(substr(c_name, CAST(i AS INTEGER) + 1, 1)) AS BIGINT))), lambda crc, b: list_reduce(list_prepend(xor(crc, b), list_transform(range(8), lambda x: CAST(x AS BIGINT))), lambda c, x: xor(c >> 1, (c & 1) * 2197175160)))"
+
+
+@query("crc32c", f"SELECT c_name AS user_key, {CRC_SQL} AS crc FROM customer")
 def checksums(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_name").alias("user_key"), crc32c("c_name").alias("crc"))
 
@@ -510,10 +545,172 @@ def latest_per_key_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     events = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]")
     log = events.select(F.concat(F.lit("user_"), "user_id").alias("user_key"), (F.col("event_id") + 1).alias("ts"), F.when(F.col("event_type") != "error", F.col("event_type")).alias("value"))
-    name = f"latest_{abs(hash(sf_dir))}"
-    stream = latest_per_key(log).writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
-    stream.awaitTermination()
-    return spark.table(name)
+    return newest_versions(log, work_dir(spark, "newest"))
+
+
+# the store itself, over the events as six batches
+
+STORE = """b AS (SELECT event_id, 'user_' || user_id AS user_key, event_id * 6 // (SELECT max(event_id) + 1 FROM events) + 1 AS ts, CASE WHEN event_type <> 'error' THEN event_type END AS value FROM events),
+log AS (SELECT user_key, ts, value FROM (SELECT *, row_number() OVER (PARTITION BY user_key, ts ORDER BY event_id DESC) AS n FROM b) AS x WHERE n = 1), m AS (SELECT CAST(3 AS BIGINT) AS r, CAST(3 AS BIGINT) AS w)"""
+
+
+def store_batches(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    n = (events.agg(F.max("event_id")).first()[0] or 0) + 1
+    rows = events.select(F.floor(F.col("event_id") * 6 / n).cast("int").alias("batch"), F.col("event_id").alias("seq"), (F.col("event_type") != "error").cast("int").alias("op"), F.concat(F.lit("user_"), "user_id").alias("user_key"), F.col("event_type").alias("value"))
+    return [rows.where(F.col("batch") == i).drop("batch") for i in range(6)]
+
+
+def new_store(spark: SparkSession, **options) -> Store:
+    return Store.open(spark, work_dir(spark, "store"), Options(**{"target_run_bytes": 1 << 14, "checkpoint_every": 4} | options))
+
+
+def filled_store(spark: SparkSession, sf_dir: str, reader_at: int = 0, **options) -> tuple[Store, Transaction | None]:
+    """A store with the six batches, each frozen and flushed; a reader opened after ``reader_at`` of them."""
+    store, reader = new_store(spark, **options), None
+    for i, batch in enumerate(store_batches(spark, sf_dir), 1):
+        store.write_batch(batch)
+        store.freeze()
+        store.flush()
+        reader = store.new_txn() if i == reader_at else reader
+    return store, reader
+
+
+@query("store_recovery", f"WITH {STORE} {_visible('true')}")
+def store_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flushed runs, batches of the log and a checkpoint, opened twice; a batch without its record isn't there."""
+    store = new_store(spark)
+    *first, last = store_batches(spark, sf_dir)
+    for i, batch in enumerate(first):
+        store.write_batch(batch)
+        if i % 2:
+            store.freeze()
+            store.flush()
+    last.selectExpr("user_key", "99L as ts", "'torn' as value").write.parquet(store.folder.path("batches/0000000099-torn"))
+    again = Store.open(spark, store.folder.root, store.options)
+    again.write_batch(last)
+    return Store.open(spark, store.folder.root, store.options).scan()
+
+
+@query("store_snapshot", f"WITH {STORE}, v AS ({_visible()}) SELECT user_key, value FROM v")
+def store_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a transaction of the third commit reads after later commits and a compaction."""
+    store, reader = filled_store(spark, sf_dir, 3)
+    store.compact()
+    return reader.scan()
+
+
+@query("store_versions", f"WITH {STORE} SELECT * FROM log")
+def store_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All versions of flushed runs, read run by run."""
+    store, _ = filled_store(spark, sf_dir)
+    return merge.concat([store.run_scan(i) for i in store.state.runs])
+
+
+@query("store_compaction", _gc_sql("true", "~").replace(LOG, STORE))
+def store_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All versions after a full compaction below a reader at the third commit."""
+    store, _ = filled_store(spark, sf_dir, 3)
+    store.compact(full=True)
+    return store.versions()
+
+
+@query("store_compaction_prefix", _gc_sql("true", PREFIX).replace(LOG, STORE))
+def store_compaction_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store, _ = filled_store(spark, sf_dir, 3)
+    store.add_filter(PREFIX)
+    store.compact(full=True)
+    return store.versions()
+
+
+@query("store_split", _gc_sql("true", "~").replace(LOG, STORE).replace("SELECT user_key, ts, value FROM x", "SELECT CAST(count(*) AS BIGINT) AS n_rows, true AS several, CAST(0 AS BIGINT) AS overlaps FROM x"))
+def store_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of a compaction with a small target size: several, whose keys don't overlap."""
+    store, _ = filled_store(spark, sf_dir, 3, target_run_bytes=512)
+    store.compact(full=True)
+    rows = spark.createDataFrame([("L1", r.run_id, r.first_key, r.last_key, r.n_rows) for r in store.state.runs.values()], "level string, run_id long, first_key string, last_key string, n_rows long")
+    errors = merge.overlap_errors(rows).agg(F.count("*").alias("overlaps"))
+    return rows.agg(F.sum("n_rows").alias("n_rows"), (F.count("*") > 1).alias("several")).join(errors)
+
+
+SUPPLIERS = "o AS (SELECT 'user_' || 2 * s_suppkey AS user_key, CASE WHEN s_suppkey % 3 <> 0 THEN s_name END AS value FROM supplier)"
+
+
+def supplied(spark: SparkSession, sf_dir: str, store: Store) -> Transaction:
+    """A transaction that wrote every supplier, a third of them deletions."""
+    txn = store.new_txn()
+    rows = spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey", "s_name").toLocalIterator()
+    txn.write([(int(k % 3 != 0), f"user_{2 * k}", name) for k, name in rows])  # a transaction's writes are held in memory
+    return txn
+
+
+@query("store_txn_scan", f"WITH {STORE}, {SUPPLIERS}, v AS ({_visible('true')}) SELECT user_key, value FROM o WHERE value IS NOT NULL UNION ALL SELECT user_key, value FROM v ANTI JOIN o USING (user_key)")
+def store_txn_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return supplied(spark, sf_dir, filled_store(spark, sf_dir)[0]).scan()
+
+
+@query("store_txn_own_writes", f"WITH {SUPPLIERS} SELECT *, row_number() OVER (ORDER BY user_key) AS place FROM o WHERE user_key > 'user_12' AND user_key <= 'user_5'")
+def store_txn_own_writes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A transaction's own writes of a range, and their order."""
+    rows = supplied(spark, sf_dir, new_store(spark)).scan_out(excluded(LO), included(HI)).collect()
+    return spark.createDataFrame([(*r, i) for i, r in enumerate(rows, 1)], "user_key string, value string, place long")
+
+
+@query("store_txn_commit", f"WITH {STORE}, {SUPPLIERS}, l AS (SELECT * FROM log UNION ALL SELECT user_key, 7, value FROM o) SELECT user_key, ts, value FROM (SELECT *, row_number() OVER (PARTITION BY user_key ORDER BY ts DESC) AS n FROM l) AS x WHERE n = 1 AND value IS NOT NULL")
+def store_txn_commit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The live rows after the transaction's commit, at its timestamp."""
+    store, _ = filled_store(spark, sf_dir, serializable=True)
+    supplied(spark, sf_dir, store).commit()
+    return store.scan()
+
+
+@query("store_conflicts", "SELECT * FROM (VALUES ('blind write', true), ('changed key read', false), ('changed range read', false), ('other key read', true), ('only read', true), ('rolled back', false)) AS t(txn, committed)")
+def store_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which of six transactions commit when another has written one key meanwhile."""
+    store = new_store(spark, serializable=True)
+    store.write_batch(store_batches(spark, sf_dir)[0])
+    changed = store.scan().agg(F.min("user_key")).first()[0]
+    txns = {name: store.new_txn() for name in ("blind write", "changed key read", "changed range read", "other key read", "only read", "rolled back")}
+    txns["changed key read"].get(changed)
+    txns["changed range read"].scan(included(changed), included(changed)).count()
+    txns["other key read"].get(changed + "x")
+    txns["only read"].get(changed)
+    for name, txn in txns.items():
+        if name != "only read":
+            txn.put("written by " + name, "x")
+    store.put(changed, "changed")
+    txns["rolled back"].rollback()
+    done = [(name, name != "rolled back" and txn.commit()) for name, txn in txns.items()]
+    return spark.createDataFrame(done, "txn string, committed boolean")
+
+
+@query("store_get_many", f"WITH {STORE}, v AS ({_visible()}) SELECT 'user_' || c_custkey AS user_key, v.value FROM customer LEFT JOIN v ON v.user_key = 'user_' || c_custkey")
+def store_get_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    keys = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.concat(F.lit("user_"), "c_custkey").alias("user_key"))
+    return filled_store(spark, sf_dir)[0].get_many(keys, 3)
+
+
+@query("store_mem_scan", f"WITH {STORE} SELECT * FROM log WHERE ts > 4 AND user_key >= '{LO}' AND user_key < '{HI}'")
+def store_mem_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Versions of a range in the open memory run, after an older one was frozen."""
+    store = new_store(spark, target_run_bytes=1 << 40)
+    for i, batch in enumerate(store_batches(spark, sf_dir)):
+        if i == 4:
+            store.freeze()
+        store.write_batch(batch)
+    return store.mem_scan(included(LO), excluded(HI))
+
+
+@query("store_ingest", "WITH b AS (SELECT 'user_' || user_id AS user_key, CASE WHEN event_type <> 'error' THEN event_type END AS value, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS n FROM events) SELECT user_key, CAST(1 AS BIGINT) AS ts, value FROM b WHERE n = 1 AND value IS NOT NULL")
+def store_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream of the events into a store, its one micro-batch offered again after a crash before the stream's own mark."""
+    store, folder = new_store(spark), work_dir(spark, "ingest")
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    events = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]")
+    rows = events.select(F.col("event_id").alias("seq"), (F.col("event_type") != "error").cast("int").alias("op"), F.concat(F.lit("user_"), "user_id").alias("user_key"), F.col("event_type").alias("value"))
+    for attempt in range(2):
+        ingest(rows, store, f"{folder}/checkpoint-{attempt}", name="events").awaitTermination()
+    return store.scan()
 
 
 def entry(spark: SparkSession) -> DataFrame:
