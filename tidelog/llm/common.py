@@ -3,20 +3,24 @@
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
-from collections.abc import Iterator
 from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from tidelog.sources.files import clean_up, shared_dir, work_dir, work_root
+
+__all__ = ["BATCH_ROWS", "clean_up", "cut", "prepare", "shared_dir", "stored", "table", "texts", "work_dir", "work_root"]
+
 #: Rows of one Arrow batch; bounds a Python worker's memory when every text is very long.
 BATCH_ROWS = 500
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Make the package importable by Python workers and bound Arrow batches by rows."""
+    """Bound Arrow batches by rows, for the session, and let workers import the package from where the driver does.
+
+    On a cluster whose machines don't have that path, install the package there or ship it with ``--py-files``.
+    """
     root = str(Path(__file__).resolve().parents[2])
     env = spark.sparkContext.environment
     paths = env.get("PYTHONPATH", "").split(os.pathsep)
@@ -31,22 +35,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset."""
-    sc = spark.sparkContext
-    base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="tidelog-checkpoint-")
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(base)
-    return base
-
-
-def work_dir(spark: SparkSession, what: str) -> str:
-    """A new folder's URI for one run of an operator."""
-    return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
-
-
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the shared folder."""
     shared_dir(df.sparkSession)
@@ -58,13 +46,6 @@ def texts(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 
 
-def batches(rows: Iterator[list], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    """Record batches of lists of tuples."""
-    for part in rows:
-        columns = list(zip(*part)) if part else [[] for _ in schema]
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
-
-
 def stored(df: DataFrame, what: str) -> DataFrame:
     """The rows written as Parquet in the shared folder and read again: no lineage, and a size the planner knows."""
     spark = df.sparkSession
