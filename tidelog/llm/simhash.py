@@ -3,11 +3,12 @@
 Fingerprints are made of the XXH64 of each word shingle. Equal ones are one
 row from then on. Two fingerprints that differ in at most three bits agree in
 at least one of four blocks (or in two of five, three of six, as their number
-grows), so each is dealt to one group for each choice of blocks. In a group
-they are sorted by Gray rank, where neighbours share most bits; runs of
-``FAN`` become nodes that hold the bits all their children share, and nodes of
-nodes likewise. A search adds the differences from the root down and drops a
-whole group of fingerprints once they exceed the limit.
+grows), so each is dealt to one group for each choice of blocks, by as many bits
+of them as leave groups of ``MEAN`` members or more. In a group they are sorted
+by Gray rank, where neighbours share most bits; runs of ``FAN`` become nodes that
+hold the bits all their children share, and nodes of nodes likewise. A search
+adds the differences from the root down and drops a whole group of fingerprints
+once they exceed the limit.
 
 A group of more than ``GROUP`` members is split into chunks, and every pair of
 chunks becomes a group, so no link is lost and no task holds more. A task
@@ -17,7 +18,7 @@ Case handling: a null or wordless text has fingerprint zero and is linked like
 any other; a text of fewer words than a shingle is one shingle; repeated rows
 get the same component; a null doc_id keeps its row and never names a
 component unless all its members are null; an empty table gives no rows;
-further columns are ignored.
+further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -37,8 +38,8 @@ from tidelog.llm.components import components
 SEED = 42
 #: Children of a node of the index.
 FAN = 8
-#: Members of a group that one task searches at once.
-GROUP = 2048
+#: Members of a group, on average, and those that are searched at once at most.
+MEAN, GROUP = 512, 4096
 #: Rows a task gathers of whole groups, and pairs it holds at once.
 ROWS, PAIRS = 100_000, 2_000_000
 
@@ -61,17 +62,17 @@ def fingerprint(raw: bytes | None, shingle: int = 3) -> int:
 def _fingerprints(shingle: int):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            fps = np.array([fingerprint(x, shingle) for x in texts(part.column(1))], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fps, pa.int64())], ["doc_id", "fp"])
+            fps = np.array([fingerprint(x, shingle) for x in texts(part.column(2))], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(fps, pa.int64())], ["doc_id", "text_key", "fp"])
 
     return run
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """(doc_id, fp) with the fingerprint as a signed long."""
+    """(doc_id, text_key, fp): a hash of the text, and the fingerprint, as signed longs."""
     prepare(docs.sparkSession)
-    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return narrow.mapInArrow(_fingerprints(shingle), "doc_id long, fp long")
+    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).select("doc_id", F.xxhash64("text").alias("text_key"), "text")
+    return narrow.mapInArrow(_fingerprints(shingle), "doc_id long, text_key long, fp long")
 
 
 def gray_rank(x: np.ndarray) -> np.ndarray:
@@ -107,6 +108,7 @@ class GrayIndex:
             level = [ones & shared, shared, group[first], first, end, last[end - 1]]
             self.levels.append(level)
         self.root_of = np.repeat(np.arange(len(group)), np.diff(np.r_[-1, last]))
+        self.asked = self.dropped = 0  # nodes that searches came to, and those they went no further from
 
     def links(self, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Pairs of places (a < b) whose members differ in at most ``most`` bits, in blocks."""
@@ -124,6 +126,7 @@ class GrayIndex:
                 query, apart = np.repeat(query, count), np.repeat(apart, count)
                 apart = apart + np.bitwise_count((self.fp[query] ^ lower[0][child]) & lower[1][child]).astype(np.int16)
                 keep = (apart <= most) & (lower[5][child] > query)
+                self.asked, self.dropped = self.asked + len(keep), self.dropped + len(keep) - int(keep.sum())
                 query, node, apart = query[keep], child[keep], apart[keep]
             if len(self.levels) == 1:
                 return
@@ -183,24 +186,29 @@ def _search(most: int):
     return run
 
 
-def block_count(n: int) -> int:
-    """Blocks so that a group of evenly spread fingerprints holds a few hundred at most."""
-    return 4 if n <= 2**24 else 5 if n <= 2**33 else 6
+def dealing(n: int, most: int) -> tuple[int, int]:
+    """Blocks, and bits of a choice's key, so that a group of evenly spread fingerprints holds MEAN to twice as many, if there are as many bits."""
+    wanted = max(0, (n // MEAN).bit_length() - 1)
+    for blocks in range(most + 1, most + 4):
+        bits = (blocks - most) * (64 // blocks)
+        if wanted <= bits:
+            return blocks, wanted
+    return blocks, bits
 
 
-def _block_keys(fp: Column, most: int, blocks: int) -> Column:
-    """An entry (choice, key) for each choice of blocks of which two linked fingerprints agree in one."""
+def _block_keys(fp: Column, most: int, blocks: int, bits: int) -> Column:
+    """An entry (choice, key) for each choice of blocks of which two linked fingerprints agree in one; the key is the first bits of its blocks."""
     edges = [64 * i // blocks for i in range(blocks + 1)]
-    masks = [(1 << b) - (1 << a) for a, b in zip(edges, edges[1:])]
-    choices = [sum(masks[i] for i in chosen) for chosen in combinations(range(blocks), blocks - most)]
+    places = ([k for i in chosen for k in reversed(range(edges[i], edges[i + 1]))][:bits] for chosen in combinations(range(blocks), blocks - most))
+    choices = sorted({sum(1 << k for k in p) for p in places})
     signed = [m - (1 << 64) if m >> 63 else m for m in choices]
     return F.array(*(F.struct(F.lit(i).alias("choice"), fp.bitwiseAND(F.lit(m).cast("long")).alias("key")) for i, m in enumerate(signed)))
 
 
-def linked_edges(distinct: DataFrame, most: int = 3, blocks: int | None = None) -> DataFrame:
-    """Edges (u, v) whose components are those of all links between the distinct fingerprints ``fp``."""
-    blocks = blocks or block_count(distinct.count())
-    dealt = distinct.select("fp", F.explode(_block_keys(F.col("fp"), most, blocks)).alias("b")).select("fp", "b.choice", "b.key")
+def linked_edges(distinct: DataFrame, most: int = 3, dealt_by: tuple[int, int] | None = None) -> DataFrame:
+    """Edges (u, v) whose components are those of all links between the distinct fingerprints ``fp``; dealt_by: blocks and bits, as of ``dealing``."""
+    blocks, bits = dealt_by or dealing(distinct.count(), most)
+    dealt = distinct.select("fp", F.explode(_block_keys(F.col("fp"), most, blocks, bits)).alias("b")).select("fp", "b.choice", "b.key")
     large = dealt.groupBy("choice", "key").count().where(F.col("count") > GROUP)
     chunks = large.select("choice", "key", F.ceil(F.col("count") * 2 / GROUP).cast("int").alias("chunks"))
     sized = dealt.join(chunks, ["choice", "key"], "left")
@@ -212,11 +220,21 @@ def linked_edges(distinct: DataFrame, most: int = 3, blocks: int | None = None)
     return keyed.repartition("choice", "key", "tile").sortWithinPartitions("choice", "key", "tile").mapInArrow(_search(most), "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, most: int = 3) -> DataFrame:
-    """(doc_id, fingerprint, component_id), one row for each row: 16 hex digits, and the least doc_id reachable over links of at most ``most`` bits."""
+def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, most: int = 3) -> DataFrame:
+    """(doc_id, text_key, fp, component_id, first), one row for each row.
+
+    ``first``: the row is the component's least by doc_id, nulls last, then
+    text_key; rows equal in both are first together.
+    """
     made = cut(fingerprints(docs, id_col, text_col, shingle))
-    distinct = made.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")
+    distinct = made.groupBy("fp").agg(F.min(place).alias("least"))
     roots = components(linked_edges(distinct.select("fp"), most))
     rooted = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
-    return made.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("first")), "root").select("fp", "first")
+    return made.join(named, "fp").select("doc_id", "text_key", "fp", F.col("first.doc_id").alias("component_id"), (place == F.col("first")).alias("first"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, most: int = 3) -> DataFrame:
+    """(doc_id, fingerprint, component_id), one row for each row: 16 hex digits, and the least doc_id reachable over links of at most ``most`` bits."""
+    return grouped(docs, id_col, text_col, shingle, most).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
