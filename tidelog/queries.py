@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidelog.functions.hashes import common_prefix, crc32c, fingerprint32
 from tidelog.operators import merge, mvcc, pruning
-from tidelog.operators.compaction import MIB, Layout, Leveled, Run, SimpleLeveled, Tiered
+from tidelog.operators.compaction import MIB, Layout, Leveled, Run, SimpleLeveled, Tiered, policy
 from tidelog.plans.model import UNBOUNDED, Bound, excluded, from_internal, included
 from tidelog.plans.session import importable
 from tidelog.sources.files import work_dir
@@ -701,6 +701,58 @@ def store_mem_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.mem_scan(included(LO), excluded(HI))
 
 
+def _by_policy(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    """Live rows after the policy flushed and compacted as batches came, and until it had nothing left to do."""
+    store = new_store(spark, target_run_bytes=1 << 12, num_memtable_limit=2, compaction=policy(kind))
+    for batch in store_batches(spark, sf_dir):
+        store.write_batch(batch)
+        store.freeze()
+        store.trigger_flush()
+        store.compact()
+    store.close()
+    for _ in range(8):
+        if not store.compact():
+            break
+    return Store.open(spark, store.folder.root, store.options).scan()
+
+
+for _kind in ("none", "leveled", "simple", "tiered"):
+    Q[f"store_policy_{_kind}"] = (partial(_by_policy, kind=_kind), f"WITH {STORE} {_visible('true')}")
+
+
+@query("store_maintenance", f"WITH {STORE} {_visible('true')}")
+def store_maintenance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Live rows of a store that is flushed and compacted on a clock while batches come."""
+    store = new_store(spark, num_memtable_limit=2)
+    store.start_maintenance()
+    for batch in store_batches(spark, sf_dir):
+        store.write_batch(batch)
+        store.freeze()
+    store.stop_maintenance()
+    if store.failure:
+        raise store.failure
+    return store.scan()
+
+
+@query("store_without_log", f"WITH {STORE} {_visible('ts <= 4')}")
+def store_without_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of a store without its log, whose last two batches weren't flushed."""
+    store = new_store(spark, enable_wal=False, target_run_bytes=1 << 40)
+    for i, batch in enumerate(store_batches(spark, sf_dir)):
+        if i == 4:
+            store.close()
+        store.write_batch(batch)
+    return Store.open(spark, store.folder.root, store.options).scan()
+
+
+@query("store_cursor", f"WITH {STORE}, v AS ({_visible()}) SELECT user_key, value, row_number() OVER (ORDER BY user_key) AS place, CAST(1 AS BIGINT) AS active FROM v WHERE user_key >= '{LO}' AND user_key <= '{HI}'")
+def store_cursor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of a range in a cursor's order, and how many cursors were active at each."""
+    store, _ = filled_store(spark, sf_dir)
+    rows = [(r.user_key, r.value, i, store.num_active_cursors()) for i, r in enumerate(store.cursor(included(LO), included(HI), 3), 1)]
+    return spark.createDataFrame(rows, "user_key string, value string, place long, active long")
+
+
 @query("store_ingest", "WITH b AS (SELECT 'user_' || user_id AS user_key, CASE WHEN event_type <> 'error' THEN event_type END AS value, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS n FROM events) SELECT user_key, CAST(1 AS BIGINT) AS ts, value FROM b WHERE n = 1 AND value IS NOT NULL")
 def store_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A stream of the events into a store, its one micro-batch offered again after a crash before the stream's own mark."""
