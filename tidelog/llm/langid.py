@@ -5,11 +5,12 @@ dropped; each character is predicted from at most four before it in the token.
 Counts are gathered over every training row: tasks count tokens, then their
 character n-grams, and a shuffle adds them up. The model keeps every n-gram of
 every language; the shorter ones' continuation counts follow from the longest.
-For each order it holds one sorted array of 64-bit hashes and a row of
-log-probabilities by language; a search goes from the longest order down and
-adds the weights of the contexts it leaves. Spark computes and sorts these
-arrays in the shared folder; each machine copies them to its temporary folder
-once and its workers map the copy, so neither the driver nor a worker holds them.
+It is sorted arrays of 64-bit hashes with a row of log-probabilities by language,
+and such arrays of contexts; a search goes from the longest order down and adds
+the weights of the contexts it leaves. Spark computes and sorts these arrays,
+tasks write them to the shared folder, in files by ranges of hashes, and Spark's
+own distribution of files takes them to each executor once, a new one too.
+Workers map them, so neither the driver's memory nor a worker's holds them.
 
 A text's language is that of the lowest cross-entropy by character. It is
 rejected if that exceeds the language's limit: with a margin, the ``QUANTILE``
@@ -21,22 +22,21 @@ Case handling: null text and texts without letters are ``und`` with score 0 and
 rejected; null languages teach nothing; without training rows all texts are
 ``und``; a null doc_id counts as the empty text for the fold; repeated rows each
 get their row; ties go to the alphabetically first language; a very long token
-is scored whole, and caches are emptied by size; further columns are ignored.
+is scored whole, and caches are emptied by size; further columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
 
-import fcntl
-import os
-import tempfile
+import uuid
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.parquet as pq
 from pyarrow import fs
+from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,6 +47,8 @@ ORDER = 5
 QUANTILE, MARGIN, STEP = 0.999, 1.6, 1e-4
 #: Characters of tokens a worker remembers, and distinct tokens or n-grams it counts before it passes them on.
 CACHED, COUNTED = 1_500_000, (80_000, 150_000)
+#: Ranges of hashes at least, and n-grams (counted by language) for each beyond; a task writes, and a worker maps, one file of a range at a time.
+RANGES, PART = 16, 500_000
 BASE, TOP = 0x9E3779B97F4A7C15, np.uint64(1 << 63)
 
 
@@ -216,11 +218,15 @@ class Model:
         return total, np.maximum(lengths - 1, 0)
 
 
-class Mapped(Model):
-    """A model whose arrays lie in a shared folder, one of Parquet files in order of hash for each order and kind."""
+class Filed(Model):
+    """A model whose arrays lie in files that Spark takes to each executor once; workers map them.
 
-    def __init__(self, uri: str, langs: list[str], vocabulary: int):
-        self.uri, self.langs = uri, langs
+    A file holds the rows of one kind (n-grams or contexts) whose hashes lie in
+    one of ``parts`` equal ranges: sorted hashes, then rows of 32-bit logarithms.
+    """
+
+    def __init__(self, names: dict[tuple[int, int], tuple[str, int]], parts: int, langs: list[str], vocabulary: int):
+        self.names, self.parts, self.langs = names, parts, langs
         self.floor = -np.log(vocabulary)
         self.limits = np.full(len(langs), np.inf)
 
@@ -228,107 +234,162 @@ class Mapped(Model):
         return {k: v for k, v in vars(self).items() if k not in ("grams", "weights")}
 
     @cached_property
-    def grams(self) -> list[tuple[np.ndarray, np.ndarray]]:
-        return [self._map(f"grams-{n}") for n in range(ORDER)]
+    def grams(self) -> list[tuple]:
+        return [self._mapped(0)] * ORDER
 
     @cached_property
-    def weights(self) -> list[tuple[np.ndarray, np.ndarray]]:
-        return [self._map(f"weights-{n}") for n in range(ORDER)]
-
-    def _map(self, name: str) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes and rows of one array, mapped from this machine's copy; the first worker to ask makes it."""
-        local = os.path.join(tempfile.gettempdir(), os.path.basename(self.uri))
-        os.makedirs(local, exist_ok=True)
-        keys, rows, done = (os.path.join(local, f"{name}.{what}") for what in ("keys", "rows", "done"))
-        with open(os.path.join(local, f"{name}.lock"), "w") as lock:
-            fcntl.flock(lock, fcntl.LOCK_EX)
-            if not os.path.exists(done):
-                self._copy(name, keys, rows)
-                open(done, "w").close()
-        size = os.path.getsize(keys) // 8
-        if not size:
-            return np.zeros(0, np.uint64), np.zeros((0, len(self.langs)), np.float32)
-        return np.asarray(np.memmap(keys, np.uint64, "r")), np.asarray(np.memmap(rows, np.float32, "r", shape=(size, len(self.langs))))
-
-    def _copy(self, name: str, keys: str, rows: str) -> None:
-        system, path = fs.FileSystem.from_uri(f"{self.uri}/{name}")
-        files = sorted(f.path for f in system.get_file_info(fs.FileSelector(path)) if f.base_name.endswith(".parquet"))
-        with open(keys, "wb") as to_keys, open(rows, "wb") as to_rows:
-            for file in files:
-                with system.open_input_file(file) as source:
-                    for part in pq.ParquetFile(source).iter_batches():
-                        to_keys.write((part.column(0).to_numpy().view(np.uint64) ^ TOP).tobytes())
-                        to_rows.write(part.column(1).flatten().to_numpy().tobytes())
-
-
-def _logs(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Hashes of grams, their top bit flipped to sort as signed numbers, and logarithms of their values."""
-    for part in parts:
-        keys = np.array([_hash(g) for g in part.column(0).to_pylist()], np.uint64) ^ TOP
-        values = np.log(part.column(1).flatten().to_numpy()).astype(np.float32)
-        starts = np.linspace(0, len(values), len(keys) + 1).astype(np.int32)
-        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.ListArray.from_arrays(starts, values)], ["key", "logs"])
+    def weights(self) -> list[tuple]:
+        return [self._mapped(1)] * ORDER
+
+    def _mapped(self, kind: int) -> tuple[list[np.ndarray], Rows]:
+        """Hashes by range, and rows of all ranges by their place."""
+        hashes, rows = [], []
+        for part in range(self.parts):
+            name, n = self.names.get((kind, part), (None, 0))
+            path = SparkFiles.get(name) if n else None
+            hashes.append(np.asarray(np.memmap(path, np.uint64, "r", shape=(n,))) if n else np.zeros(0, np.uint64))
+            rows.append(np.asarray(np.memmap(path, np.float32, "r", 8 * n, (n, len(self.langs)))) if n else np.zeros((0, len(self.langs)), np.float32))
+        return hashes, Rows(rows)
+
+    def _find(self, table: list[np.ndarray], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if self.parts == 1:
+            return super()._find(table[0], keys)
+        at, found = np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+        part, before = part_of(keys, self.parts), 0
+        for k, hashes in enumerate(table):
+            if len(own := np.flatnonzero(part == k)):
+                at[own], found[own] = super()._find(hashes, keys[own])
+                at[own] += before
+            before += len(hashes)
+        return at, found
+
+
+class Rows:
+    """Rows of several matrices by their place in all of them."""
+
+    def __init__(self, parts: list[np.ndarray]):
+        self.parts = parts
+        self.ends = np.cumsum([len(p) for p in parts])
+
+    def __getitem__(self, at: np.ndarray) -> np.ndarray:
+        if len(self.parts) == 1:
+            return self.parts[0][at]
+        out, part = np.empty((len(at), self.parts[0].shape[1]), np.float32), np.searchsorted(self.ends, at, "right")
+        for k, rows in enumerate(self.parts):
+            if len(own := np.flatnonzero(part == k)):
+                out[own] = rows[at[own] - (self.ends[k] - len(rows))]
+        return out
+
+
+def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
+    """Which of equal ranges a hash lies in."""
+    return ((keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+
+
+def _hashed(parts: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows (kind, gram, values) with the range and hash of the gram, its top bit flipped to sort as a signed number, and logarithms."""
+        for batch in batches:
+            keys = np.array([_hash(g) for g in batch.column(1).to_pylist()], np.uint64)
+            values = np.log(batch.column(2).flatten().to_numpy()).astype(np.float32)
+            starts = np.linspace(0, len(values), len(keys) + 1).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(part_of(keys, parts)), pa.array((keys ^ TOP).view(np.int64)), pa.ListArray.from_arrays(starts, values)], ["kind", "part", "key", "logs"])
+
+    return run
+
+
+def _write(folder: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A file for each kind and range of rows that come sorted; a range has ``PART`` rows at most, or so."""
+        held: list[pa.RecordBatch] = []
+
+        def emit() -> pa.RecordBatch:
+            rows = pa.Table.from_batches(held)
+            name = f"langid-{uuid.uuid4().hex}"
+            system, path = fs.FileSystem.from_uri(f"{folder}/{name}")
+            system.create_dir(path.rpartition("/")[0], recursive=True)
+            with system.open_output_stream(path, compression=None) as out:
+                out.write((rows.column(2).to_numpy().view(np.uint64) ^ TOP).tobytes())
+                for chunk in rows.column(3).chunks:
+                    out.write(chunk.flatten().to_numpy().tobytes())
+            kind, part = held[0].column(0)[:1], held[0].column(1)[:1]
+            held.clear()
+            return pa.RecordBatch.from_arrays([kind, part, pa.array([name]), pa.array([len(rows)], pa.int64())], ["kind", "part", "name", "n"])
+
+        for batch in batches:
+            kind, part = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            starts = [0, *(np.flatnonzero((np.diff(kind) != 0) | (np.diff(part) != 0)) + 1).tolist()] if len(batch) else []
+            for at, end in zip(starts, [*starts[1:], len(batch)]):
+                if held and (held[-1].column(0)[0].as_py(), held[-1].column(1)[0].as_py()) != (kind[at], part[at]):
+                    yield emit()
+                held.append(batch.slice(at, end - at))
+        if held:
+            yield emit()
+
+    return run
 
 
 def build(counts: DataFrame) -> Model:
-    """The model of all rows (lang, gram, n), as ``Model`` makes it of dictionaries, by joins.
+    """The model of all rows (lang, gram, n), as ``Model`` makes it of dictionaries, by aggregates and joins.
 
-    Only the languages and a few numbers for each of their orders come to the driver.
+    Only the languages, a few numbers for each of their orders and the names of
+    the files come to the driver.
     """
-    counts = stored(counts, "counts")
-    langs = [r[0] for r in counts.select("lang").distinct().orderBy("lang").collect()]
+    spark = counts.sparkSession
+    # each longest n-gram stands for its ends too: seen once after the character before them, or n times where nothing stands before
+    ends = F.expr("transform(sequence(1, length(gram)), k -> struct(right(gram, k) as gram, if(k < length(gram), substring(gram, length(gram) - k, 1), null) as before, if(k < length(gram), 0L, n) as n))")
+    every = counts.select("lang", F.explode(ends).alias("x")).select("lang", "x.*")
+    rows = stored(every.groupBy("lang", "gram").agg((F.count_distinct("before") + F.sum("n")).alias("n")), "orders")
+    sizes: dict[str, dict[int, tuple[int, int, int]]] = defaultdict(dict)
+    for r in rows.groupBy("lang", F.length("gram")).agg(F.count("*"), F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)).collect():
+        sizes[r[0]][r[1]] = r[2], r[3], r[4]
+    langs = sorted(sizes)
     if not langs:
         return Model({})
-    orders: list[DataFrame] = []
-    for n in range(ORDER - 1, -1, -1):
-        rows = counts.where(F.length("gram") == n + 1)
-        if orders:
-            before = orders[0].select("lang", F.expr("substring(gram, 2)").alias("gram"), F.lit(1).cast("long").alias("n"))
-            rows = rows.unionByName(before).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-        orders.insert(0, stored(rows, f"order-{n}"))
-    sizes: dict[tuple[int, str], tuple[int, int, int]] = {}
-    for n, rows in enumerate(orders):
-        for r in rows.groupBy("lang").agg(F.count("*"), F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)).collect():
-            sizes[n, r[0]] = r[1], r[2], r[3]
-    vocabulary = 2 + max((sizes[0, lang][0] for lang in langs if (0, lang) in sizes), default=0)
-    uri = work_dir(counts.sparkSession, "langid")
-    lower = None
-    for n, rows in enumerate(orders):
-        discounts = [ones / (ones + 2 * twos) if ones and twos else 0.5 for _, ones, twos in (sizes.get((n, lang), (0, 0, 0)) for lang in langs)]
-        head = F.substring("gram", 1, n)
-        by_lang = lambda what: F.array(*[F.sum(F.when(F.col("lang") == lang, what).otherwise(F.lit(0))).cast("double") for lang in langs])
-        heads = rows.groupBy(head.alias("head")).agg(by_lang(F.col("n")).alias("total"), by_lang(F.lit(1)).alias("kinds"))
-        weight = F.array(*[F.when(F.col("total")[i] > 0, F.lit(d) * F.col("kinds")[i] / F.greatest(F.col("total")[i], F.lit(1.0))).otherwise(F.lit(1.0)) for i, d in enumerate(discounts)])
-        heads = stored(heads.select("head", "total", weight.alias("weight")), f"heads-{n}")
-        wide = rows.groupBy("gram").agg(by_lang(F.col("n")).alias("c")).withColumn("head", head).join(heads, "head")
-        if lower is not None:
-            wide = wide.withColumn("rest", F.expr("substring(gram, 2)")).join(lower.select(F.col("gram").alias("rest"), F.col("p").alias("below")), "rest")
-        else:
-            wide = wide.withColumn("below", F.array(*[F.lit(1 / vocabulary)] * len(langs)))
-        shares = [F.greatest(F.lit(0.0), F.col("c")[i] - F.lit(d)) / F.greatest(F.col("total")[i], F.lit(1.0)) + F.col("weight")[i] * F.col("below")[i] for i, d in enumerate(discounts)]
-        lower = stored(wide.select("gram", F.array(*shares).alias("p")), f"shares-{n}")
-        for name, table in ((f"grams-{n}", lower.select("gram", "p")), (f"weights-{n}", heads.select("head", "weight"))):
-            table.mapInArrow(_logs, "key long, logs array<float>").orderBy("key").write.parquet(f"{uri}/{name}")
-    return Mapped(uri, langs, vocabulary)
+    vocabulary = 2 + max(of.get(1, (0,))[0] for of in sizes.values())
+    parts = max(RANGES, sum(n for of in sizes.values() for n, _, _ in of.values()) // PART)
+    discounts = [[ones / (ones + 2 * twos) if ones and twos else 0.5 for _, ones, twos in (sizes[lang].get(n + 1, (0, 0, 0)) for n in range(ORDER))] for lang in langs]
+    by_order = [F.element_at(F.array(*map(F.lit, d)), F.length("gram") if what == "gram" else F.length("head") + 1) for what in ("gram", "head") for d in discounts]
+    by_lang = lambda what: F.array(*[F.sum(F.when(F.col("lang") == lang, what).otherwise(F.lit(0))).cast("double") for lang in langs])
+    heads = rows.groupBy(F.expr("left(gram, length(gram) - 1)").alias("head")).agg(by_lang(F.col("n")).alias("total"), by_lang(F.lit(1)).alias("kinds"))
+    weight = F.array(*[F.when(F.col("total")[i] > 0, d * F.col("kinds")[i] / F.greatest(F.col("total")[i], F.lit(1.0))).otherwise(F.lit(1.0)) for i, d in enumerate(by_order[len(langs) :])])
+    heads = stored(heads.select("head", "total", weight.alias("weight")), "heads")
+    wide = rows.groupBy("gram").agg(by_lang(F.col("n")).alias("c")).withColumn("head", F.expr("left(gram, length(gram) - 1)")).join(heads, "head")
+    seen = F.array(*[F.greatest(F.lit(0.0), F.col("c")[i] - d) / F.greatest(F.col("total")[i], F.lit(1.0)) for i, d in enumerate(by_order[: len(langs)])])
+    own = stored(wide.select("gram", seen.alias("seen"), "weight"), "shares")
+    # a share is interpolated from the shortest end of the n-gram up to itself
+    wanted = own.select("gram", F.explode(F.expr("transform(sequence(1, length(gram)), k -> right(gram, k))")).alias("end"))
+    chain = wanted.join(own.withColumnRenamed("gram", "end"), "end").groupBy("gram").agg(F.array_sort(F.collect_list(F.struct(F.length("end").alias("k"), "seen", "weight"))).alias("chain"))
+    share = F.expr(f"aggregate(chain, array_repeat(cast({1 / vocabulary!r} as double), {len(langs)}), (p, x) -> zip_with(x.seen, zip_with(x.weight, p, (w, q) -> w * q), (s, t) -> s + t))")
+    tables = chain.select(F.lit(0).alias("kind"), "gram", share.alias("p")).unionByName(heads.select(F.lit(1).alias("kind"), F.col("head").alias("gram"), F.col("weight").alias("p")))
+    folder = work_dir(spark, "langid")
+    hashed = tables.mapInArrow(_hashed(parts), "kind int, part long, key long, logs array<float>")
+    named = hashed.repartition("kind", "part").sortWithinPartitions("kind", "part", "key").mapInArrow(_write(folder), "kind int, part long, name string, n long").collect()
+    for r in named:
+        spark.sparkContext.addFile(f"{folder}/{r.name}")
+    return Filed({(r.kind, r.part): (r.name, r.n) for r in named}, parts, langs, vocabulary)
 
 
 class Scorer:
     """Scores texts with a model; remembers tokens it has scored."""
 
     def __init__(self, model: Model):
-        self.model, self.known, self.held = model, {}, 0
+        self.model, self.known, self.words, self.held = model, {}, {}, 0
         self.rows = np.zeros((0, len(model.langs) + 1))
 
     def texts(self, texts: list[str | None]) -> list[tuple[str, float, float | None, bool]]:
         """(language, score, cross-entropy, rejected) of each text."""
         split = [(t or "").split() for t in texts]
         if self.held > CACHED:
-            self.known, self.rows, self.held = {}, self.rows[:0], 0
-        new = list(set().union(*split).difference(self.known))
-        sums, n = self.model.words([letters(t) for t in new])
-        self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
+            self.known, self.words, self.rows, self.held = {}, {}, self.rows[:0], 0
+        tokens = set().union(*split).difference(self.known)
+        spelled = list(map(letters, tokens))
+        new = list(dict.fromkeys(w for w in spelled if w not in self.words))
+        sums, n = self.model.words(new)
+        self.words.update(zip(new, range(len(self.words), len(self.words) + len(new))))
+        self.known.update(zip(tokens, map(self.words.__getitem__, spelled)))
         self.rows = np.concatenate([self.rows, np.column_stack([sums, n])])
-        self.held += sum(map(len, new))
+        self.held += sum(map(len, tokens))
         return [self._decide(np.fromiter(map(self.known.__getitem__, tokens), np.int64, len(tokens))) for tokens in split]
 
     def _decide(self, at: np.ndarray) -> tuple[str, float, float | None, bool]:
@@ -378,11 +439,6 @@ def predict(text: Column, model: Model) -> Column:
     return found.asNondeterministic()(text)
 
 
-def _training(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).alias("lang"))
-    return rows.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull())
-
-
 def set_limits(model: Model, scored: DataFrame) -> Model:
     """Limits of rejection from (lang_pred, cross_entropy) of all training texts."""
     steps = scored.where("cross_entropy is not null").groupBy("lang_pred", F.ceil(F.col("cross_entropy") / STEP).alias("step")).count()
@@ -391,20 +447,46 @@ def set_limits(model: Model, scored: DataFrame) -> Model:
     return model
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Models of every language of the rows that aren't held out, with limits of rejection."""
+def beyond(model: Model, lang_pred: Column, cross_entropy: Column) -> Column:
+    """Whether a scored text is rejected by the model's limits; one without a cross-entropy always is."""
+    if not model.langs:
+        return F.lit(True)
+    limits = F.create_map(*[F.lit(x) for pair in zip(model.langs, model.limits.tolist()) for x in pair])
+    return F.coalesce(cross_entropy > limits[lang_pred], F.lit(True))
+
+
+def learned_from(doc_id: Column | str = "doc_id", lang: Column | str = "lang") -> Column:
+    """Whether a row is one that the models learn from, if it has a text."""
+    of = lambda x: F.col(x) if isinstance(x, str) else x
+    return ~held_out(of(doc_id).cast("long")) & of(lang).isNotNull()
+
+
+def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
+    """Models of every language of the rows that aren't held out, without limits of rejection."""
     prepare(docs.sparkSession)
-    rows = _training(docs, id_col, text_col, lang_col)
-    model = build(gram_counts(rows))
-    return set_limits(model, score(rows, model).select("lang_pred", "cross_entropy"))
+    rows = docs.where(learned_from(id_col, lang_col)).select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).alias("lang"))
+    return build(gram_counts(rows))
+
+
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
+    """Models of every language of the rows that aren't held out, with limits of rejection, for which their texts are scored."""
+    model = learn(docs, id_col, text_col, lang_col)
+    scored = score(docs.where(learned_from(id_col, lang_col)), model, id_col, text_col)
+    return set_limits(model, scored.select("lang_pred", "cross_entropy"))
 
 
 def identify(docs: DataFrame) -> DataFrame:
-    """Trains on the rows that aren't held out and scores all: doc_id, held_out, lang_pred, score, cross_entropy, rejected."""
-    prepare(docs.sparkSession)
-    model = build(gram_counts(_training(docs, "doc_id", "text", "lang")))
-    scored = stored(score(docs, model, learned=~held_out(F.col("doc_id").cast("long")) & F.col("lang").isNotNull()), "scored")
+    """Trains on the rows that aren't held out and scores all, once: doc_id, held_out, lang_pred, score, cross_entropy, rejected."""
+    model = learn(docs)
+    scored = stored(score(docs, model, learned=learned_from()), "scored")
     set_limits(model, scored.where("learned"))
-    limits = F.create_map(*[F.lit(x) for pair in zip(model.langs, model.limits.tolist()) for x in pair]) if model.langs else F.lit(None).cast("map<string, double>")
-    rejected = F.coalesce(F.col("cross_entropy") > limits[F.col("lang_pred")], F.lit(True))
-    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "cross_entropy", rejected.alias("rejected"))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "cross_entropy", beyond(model, F.col("lang_pred"), F.col("cross_entropy")).alias("rejected"))
+
+
+def identified(docs: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """The columns of each row with ``found``: lang_pred, score, cross_entropy, rejected. Texts are scored once and stored with it."""
+    model = learn(docs)
+    scored = stored(docs.select(*columns, learned_from().alias("is_learned"), predict(F.col("text"), model).alias("found")), "scored")
+    set_limits(model, scored.where("is_learned").select("found.lang_pred", "found.cross_entropy"))
+    rejected = beyond(model, F.col("found.lang_pred"), F.col("found.cross_entropy"))
+    return scored.select(*columns, F.col("found").withField("rejected", rejected).alias("found"))
