@@ -3,10 +3,13 @@
 import random
 from itertools import combinations
 
+import duckdb
 import numpy as np
 import pytest
+import xxhash
 
 from tidelog.llm import components as stars
+from tidelog.llm import oracles
 from tidelog.llm import simhash
 from tidelog.llm.components import components
 
@@ -17,6 +20,16 @@ def near(n, seed=1):
     return np.unique(np.r_[fp, fp[: n // 5] ^ (np.uint64(7) << rng.integers(0, 61, n // 5).astype(np.uint64)), fp[: n // 5] ^ np.uint64(1)])
 
 
+def test_sql_hash():
+    rng = random.Random(1)
+    texts = sorted({"".join(rng.choice("abé日 x") for _ in range(n)) for n in range(120) for _ in range(2)})
+    con = duckdb.connect()
+    con.execute("create table t(s varchar)")
+    con.executemany("insert into t values (?)", [(x,) for x in texts])
+    got = dict(con.sql(oracles.xxh64("SELECT s FROM t", 42)).fetchall())
+    assert got == {x: xxhash.xxh64_intdigest(x.encode(), 42) for x in texts}
+
+
 def test_ranks():
     ranks = np.arange(4096, dtype=np.uint64)
     gray = ranks ^ ranks >> np.uint64(1)

@@ -12,7 +12,6 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-import corpus_pipeline
 from tidelog.llm import decontaminate, html_text, langid, pii, quality, registry, rules, sentencepieces, simhash, token_counts, warc
 from tidelog.llm.components import components
 
@@ -118,8 +117,8 @@ def test_links(spark):
     signed = lambda f: f - 2**64 if f >> 63 else f
     df = spark.createDataFrame([(signed(f),) for f in fps], "fp long")
     groups = lambda pairs: {frozenset(a for a, b in pairs if b == root) for root in {b for _, b in pairs}}
-    for blocks in (4, 5, 6):
-        found = {r.node: r.root for r in components(simhash.linked_edges(df, 3, blocks)).collect()}
+    for dealt_by in (None, (4, 0), (4, 5), (4, 16), (5, 24), (6, 30)):
+        found = {r.node: r.root for r in components(simhash.linked_edges(df, 3, dealt_by)).collect()}
         assert groups([(signed(f), found.get(signed(f), signed(f))) for f in fps]) == groups([(signed(f), signed(want[f])) for f in fps])
 
 
@@ -195,13 +194,16 @@ def test_languages_not_learned_are_rejected(spark):
     assert sum(foreign) >= 0.95 * len(foreign) and len(foreign) > 100
 
 
-def test_model_by_joins(spark):
+@pytest.mark.parametrize("part", [langid.PART, 700])
+def test_model_by_joins(spark, monkeypatch, part):
+    monkeypatch.setattr(langid, "PART", part)  # the second makes many files of ranges
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     counted = langid.gram_counts(docs).collect()
     counts = {}
     for lang, gram, n in counted:
         counts.setdefault(lang, {})[gram] = n
     want, got = langid.Model(counts), langid.build(langid.gram_counts(docs))
+    assert (got.parts > langid.RANGES) == (part == 700)
     words = ["the", "wurde", "é", "", "zzzzqx", "données", *{langid.letters(t) for r in docs.limit(20).collect() for t in r.text.split()}]
     assert got.langs == want.langs and (got.words(words)[1] == want.words(words)[1]).all()
     assert abs(got.words(words)[0] - want.words(words)[0]).max() < 1e-3
@@ -391,28 +393,6 @@ def test_rollup(spark, tmp_path):
 # pipeline and queries
 
 
-def test_pipeline(spark, odd):
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    kept = docs
-    for name, stage in corpus_pipeline.STAGES:
-        before, kept = kept, stage(spark, kept, str(SF)).cache()
-        if name != "SentencePiece encoding and decoding":
-            assert kept.columns == list(corpus_pipeline.COLUMNS)
-        if name == "SimHash near-dedup":
-            want = brute_components({i: brute_fingerprint(t) for i, t in texts_of(before).items()})
-            assert {r.doc_id for r in kept.collect()} == {i for i, c in want.items() if i == c}
-        elif name == "benchmark decontamination":
-            items = [tuple(r) for r in spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text").collect()]
-            assert {r.doc_id for r in kept.collect()} == {i for i, t in texts_of(before).items() if not brute_contamination(t, items)[-1]}
-        elif name == "PII":
-            texts = texts_of(before)
-            assert {r.doc_id: r.text for r in kept.collect()} == {i: pii._redacted(t.encode()) for i, t in texts.items()}
-    assert kept.where("not round_trip").count() == 0 and kept.count() > 0.5 * docs.count()
-    for _, stage in corpus_pipeline.STAGES[:-1]:
-        assert stage(spark, odd, str(SF)).columns == list(corpus_pipeline.COLUMNS)
-    assert corpus_pipeline.identify_language(spark, docs, str(SF))._jdf.queryExecution().executedPlan().toString().count("EvalPython") == 1
-
-
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_oracle(spark, name):
     con = duckdb.connect()
@@ -432,4 +412,9 @@ def test_without(spark, monkeypatch):
     for bits in (1 << 24, 64):  # the second shares most bits
         monkeypatch.setattr(idset, "BITS", bits)
         got = Counter(r.doc_id for r in idset.without(rows, ids).collect())
-        assert got == Counter([i for i in [*range(300), 8] if i % 7] + [None])
+        assert got == Counter(i for i in [*range(300), 8] if i % 7)
+        assert Counter(r.doc_id for r in idset.fetched(rows, ids).collect()) == Counter([*range(0, 300, 7), 7, None])
+        pair = rows.withColumnsRenamed({"text": "row"}).withColumn("maybe", F.lit(1)).withColumn("bit", F.lit(2))
+        assert idset.without(pair, pair.select("doc_id", "row").where("doc_id is null or doc_id = 7")).columns == pair.columns
+        assert idset.without(pair, pair.select("doc_id", "row").where("doc_id is null or doc_id = 7")).count() == 300
+        assert idset.without(pair, ids.limit(0)).count() == 303 and idset.without(pair.limit(0), ids).count() == 0

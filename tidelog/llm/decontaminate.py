@@ -106,6 +106,11 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
 
     ``contaminated``: something is hit and ``share * n_hit >= n_words``.
     """
+    return keyed_contamination(docs, items, id_col, text_col, item_col, item_text_col, share).drop("text_key")
+
+
+def keyed_contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", share: int = 20) -> DataFrame:
+    """As ``contamination``, with text_key, a hash of the text."""
     prepare(docs.sparkSession)
     item_table = stored(_items(items, item_col, item_text_col), "items")
     marks = item_table.select("item", "span", "words", F.explode("anchors").alias("a")).selectExpr("item", "span", "a.hash", *AROUND)
@@ -148,7 +153,7 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     n = F.coalesce("n_hit", F.lit(0)).cast("long")
     listed = F.coalesce("items", F.expr("cast(array() as array<string>)"))
     joined = matched(base.select("doc_id", "text_key", "n_words"), told, "left")
-    return joined.select("doc_id", "n_words", n.alias("n_hit"), F.size(listed).cast("long").alias("n_items"), F.sha2(F.array_join(listed, ","), 256).alias("items_sha256"), ((n > 0) & (share * n >= F.col("n_words"))).alias("contaminated"))
+    return joined.select("doc_id", "text_key", "n_words", n.alias("n_hit"), F.size(listed).cast("long").alias("n_items"), F.sha2(F.array_join(listed, ","), 256).alias("items_sha256"), ((n > 0) & (share * n >= F.col("n_words"))).alias("contaminated"))
 
 
 ORACLE_SQL = f"""

@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-import corpus_pipeline
-from tidelog.llm import decontaminate, html_text, langid, pii, quality, rules, sentencepieces, simhash, token_counts, warc
+from tidelog.llm import decontaminate, html_text, langid, oracles, pii, quality, rules, sentencepieces, simhash, token_counts, warc
+from tidelog.llm import pipeline as stages
 from tidelog.llm.common import table
 
 
@@ -52,7 +52,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus_pipeline.run(spark, sf_dir)
+    return stages.run(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -61,4 +61,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_decontamination": decontaminate.ORACLE_SQL, "op8_warc": warc.ORACLE_SQL}
+    return {"op5_decontamination": decontaminate.ORACLE_SQL, "op8_warc": warc.ORACLE_SQL, "op10_simhash": oracles.simhash_groups()}
