@@ -1,65 +1,5 @@
-"""A training corpus from raw documents: language ID, near-duplicates, decontamination, PII, tokens.
+"""A training corpus from raw documents; its stages are in ``tidelog.llm.pipeline``."""
 
-Each stage takes (spark, docs, sf_dir) and works on all rows its predecessor
-kept. ``run`` writes each stage's rows as Parquet in the shared folder and reads
-them again. Rows with a null doc_id pass the stages that decide by doc_id.
-"""
+from tidelog.llm.pipeline import COLUMNS, ORACLE_SQL, STAGES, run
 
-from __future__ import annotations
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from tidelog.llm import decontaminate, idset, langid, pii, sentencepieces, simhash
-from tidelog.llm.common import prepare, stored, table
-
-COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-
-
-def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents whose language is rejected; lang is the predicted one."""
-    found = langid.predict(F.col("text"), langid.train(docs))
-    return docs.withColumn("found", found).where("not found.rejected").withColumn("lang", F.col("found.lang_pred")).select(*COLUMNS)
-
-
-def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of least doc_id of each group."""
-    groups = simhash.near_duplicates(docs)
-    return idset.without(docs.select(*COLUMNS), groups.where("doc_id <> component_id"))
-
-
-def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that the benchmark's windows contaminate."""
-    return idset.without(docs.select(*COLUMNS), decontaminate.contamination(docs, table(spark, sf_dir, "benchmark")).where("contaminated"))
-
-
-def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces personal data by its kind; n_chars is the new text's."""
-    prepare(spark)
-    return docs.withColumn("text", pii.redact(F.col("text"))).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
-
-
-def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document, and whether they decode to its text."""
-    prepare(spark)
-    encoded = docs.select("doc_id", "lang", "source", sentencepieces.encode_checked(F.col("text"), sentencepieces.load()).alias("x"))
-    return encoded.select("doc_id", "lang", "source", F.size("x.ids").cast("long").alias("n_tokens"), "x.ids", "x.round_trip")
-
-
-STAGES = [
-    ("language ID", identify_language),
-    ("SimHash near-dedup", drop_near_duplicates),
-    ("benchmark decontamination", drop_contaminated),
-    ("PII", redact_personal_data),
-    ("SentencePiece encoding and decoding", encode_pieces),
-]
-
-#: SQL can express neither the language models nor the encoder.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
-    return docs
+__all__ = ["COLUMNS", "ORACLE_SQL", "STAGES", "run"]
