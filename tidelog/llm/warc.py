@@ -15,10 +15,12 @@ memory. Which record is the response is a pre-aggregated maximum by digest and
 an ordinary join.
 
 Case handling: null html is the empty payload, a null url is written ``-`` and
-comes back null; a null page_id stays null, stands below all others and is
+comes back null; a url that a header can't hold as it is (white space, other
+than ASCII, empty, ``-`` itself) is percent-encoded there and whole in a field
+of the HTTP header, from which it comes back; a null page_id stays null, stands below all others and is
 never named by refers_to; repeated rows are records of their own, of which one
 at most is the response; an empty table gives no files and no rows; further
-columns are ignored; header values lose line breaks and spaces (percent-encoded).
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -131,9 +133,12 @@ def _write_arc(folder: str, version: int):
                 if not out.count:
                     out.member(arc_header(version, f"filedesc://{name}", "text/plain", len(block), name=name) + block + b"\n")
                 payload = html or b""
+                target = quote(url, safe=ESCAPED) if url else "-"
                 named = b"" if page_id is None else b"X-Page-Id: %d\r\n" % page_id
+                if url is not None and (target != url or url == "-"):
+                    named += f"X-Url: {quote(url, safe='')}\r\n".encode()
                 content = HTTP + named + b"Content-Length: %d\r\n\r\n" % len(payload) + payload
-                out.member(arc_header(version, quote(url, safe=ESCAPED) if url else "-", "text/html", len(content), name=name, offset=out.at) + content + b"\n")
+                out.member(arc_header(version, target, "text/html", len(content), name=name, offset=out.at) + content + b"\n")
         if out.close():
             yield pa.RecordBatch.from_arrays([pa.array([uri]), pa.array([out.count - 1], pa.int64())], ["uri", "records"])
 
@@ -233,8 +238,9 @@ def _read(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if fields["WARC-Type"] == "warcinfo":
                     continue
                 _, http, _ = _http(block)
-                page, url = http.get("x-page-id"), fields["WARC-Target-URI"]
-                rows.append((fields["WARC-Record-ID"], page if page is None else int(page), None if url == "-" else unquote(url), int(http["content-length"]), fields["WARC-Payload-Digest"].removeprefix("sha1:"), fields["WARC-Type"], fields.get("WARC-Refers-To"), fields["WARC-Date"]))
+                page, target = http.get("x-page-id"), fields["WARC-Target-URI"]
+                url = unquote(http["x-url"]) if "x-url" in http else None if target == "-" else target
+                rows.append((fields["WARC-Record-ID"], page if page is None else int(page), url, int(http["content-length"]), fields["WARC-Payload-Digest"].removeprefix("sha1:"), fields["WARC-Type"], fields.get("WARC-Refers-To"), fields["WARC-Date"]))
                 if len(rows) == 5000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], list(_READ))
                     rows = []
