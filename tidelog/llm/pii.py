@@ -3,7 +3,7 @@
 Four base kinds (``email``, ``ip``, ``card``, ``phone``) are found leftmost and
 without overlap per kind; a proposal whose check fails is dropped and not tried
 again. They always stay. Further proposals stay if their score reaches
-``THRESHOLD``: ``iban`` (country length and mod-97), short cards of 13 to 15
+``THRESHOLD``: ``iban`` (as long as its country's are, and mod-97), short cards of 13 to 15
 digits that pass Luhn, local phone numbers and hexadecimal secrets, the last
 three only beside a word of their context.
 
@@ -30,7 +30,7 @@ BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "iban", "card_short", "phone_local", "secret")
 #: Least score of a span of a further kind.
 THRESHOLD = 0.6
-#: Code points before a span in which a context word counts.
+#: Code points before and after a span in which a context word counts.
 CONTEXT = 40
 
 # The optional tail after a possessive run finds what the plain pattern finds, leftmost, in linear time.
@@ -38,12 +38,19 @@ EMAIL = re.compile(r"[A-Za-z0-9._%+-]++(@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)?")
 IP = re.compile(r"[0-9]++((?:\.[0-9]+){3})?")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?= ?[A-Z0-9])")
 LOCAL = re.compile(r"(?<![\w+.-])\(?[0-9]{2,4}\)?[ .-][0-9]{3,4}[ .-][0-9]{3,4}(?![\w-])")
 SECRET = re.compile(r"(?<![0-9A-Za-z])[0-9a-f]{32,128}(?![0-9A-Za-z])")
 
 # Lengths of an IBAN by country.
-IBAN_LENGTH = {"AT": 20, "BE": 16, "CH": 21, "CZ": 24, "DE": 22, "DK": 18, "ES": 24, "FI": 18, "FR": 27, "GB": 22, "IE": 22, "IT": 27, "LU": 20, "NL": 18, "NO": 15, "PL": 28, "PT": 25, "SE": 24}
+IBAN_LENGTH = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BR": 29, "BY": 28, "CH": 21, "CR": 22, "CY": 28, "CZ": 24, "DE": 22, "DK": 18, "DO": 28, "EE": 20, "EG": 29,
+    "ES": 24, "FI": 18, "FO": 18, "FR": 27, "GB": 22, "GE": 22, "GI": 23, "GL": 18, "GR": 27, "GT": 28, "HR": 21, "HU": 28, "IE": 22, "IL": 23, "IQ": 23, "IS": 26, "IT": 27, "JO": 30, "KW": 30, "KZ": 20,
+    "LB": 28, "LC": 32, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "LY": 25, "MC": 27, "MD": 24, "ME": 22, "MK": 19, "MR": 27, "MT": 31, "MU": 30, "NL": 18, "NO": 15, "PK": 24, "PL": 28, "PS": 29, "PT": 25,
+    "QA": 29, "RO": 24, "RS": 22, "SA": 24, "SC": 31, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "ST": 25, "SV": 28, "TL": 23, "TN": 24, "TR": 26, "UA": 29, "VA": 22, "VG": 24, "XK": 20,
+}
+#: What follows the check digits of an IBAN, by its length.
+IBAN_REST = {n: re.compile(rf"(?: ?[A-Z0-9]){{{n - 4}}}(?![A-Za-z0-9])") for n in set(IBAN_LENGTH.values())}
 
 #: Kind: prior score after its check, what a context word adds, the words.
 EVIDENCE = {
@@ -90,10 +97,13 @@ def _proposals(text: str, has_at: bool) -> Iterator[tuple[str, int, int]]:
     for m in PHONE.finditer(text):
         if 8 <= len(_digits(m[0])) <= 15:
             yield "phone", m.start(), m.end()
+    past = 0
     for m in IBAN.finditer(text):
-        iban = m[0].replace(" ", "")
-        if IBAN_LENGTH.get(iban[:2]) == len(iban) and mod97(iban):
-            yield "iban", m.start(), m.end()
+        length = IBAN_LENGTH.get(m[0][:2])
+        rest = IBAN_REST[length].match(text, m.end()) if length and m.start() >= past else None
+        if rest and mod97((m[0] + rest[0]).replace(" ", "")):
+            past = rest.end()
+            yield "iban", m.start(), past
     for m in LOCAL.finditer(text):
         if 8 <= len(_digits(m[0])) <= 12:
             yield "phone_local", m.start(), m.end()
@@ -111,7 +121,7 @@ def find_spans(raw: bytes | None) -> list[tuple[str, int, int, float]]:
     found: list[tuple[str, int, int, float]] = []
     for kind, start, end in _proposals(text, has_at):
         prior, gain, words = EVIDENCE[kind]
-        score = prior + gain * bool(words.search(text, max(0, start - CONTEXT), start))
+        score = prior + gain * bool(words.search(text, max(0, start - CONTEXT), start) or words.search(text, end, end + CONTEXT))
         if kind in BASE_KINDS or score >= THRESHOLD:
             found.append((kind, start, end, round(score, 4)))
     base = [(s, e) for kind, s, e, _ in found if kind in BASE_KINDS]
