@@ -11,7 +11,8 @@ Case handling: null text counts as empty, with all statistics 0 and the base
 rule failed (fewer than ten words); ratios divide by one at least; without
 labels of both kinds the list is empty and only the base rule drops; repeated
 rows each get their row; ties between conditions go to the first feature and
-lowest threshold; further columns are ignored.
+lowest threshold; further columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -175,13 +176,22 @@ def verdict(rules: list[list[Condition]]) -> tuple[Column, Column]:
     return number.isNull(), number
 
 
-def learn_from(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> list[list[Condition]]:
-    """The list learned from at most ``most`` labelled rows; a row labelled twice counts with its least label."""
+def labelled(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> np.ndarray:
+    """Statistics and the label of at most ``most`` labelled rows, one for each doc_id and text."""
     spark = prepare(docs.sparkSession)
-    marked = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
+    marked = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").cast("int").alias("quality"))
     chosen = spark.createDataFrame(marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).collect(), marked.schema)
-    rows = counted(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id", "left_semi")).join(F.broadcast(chosen), "doc_id").select(*STATS, "quality").toArrow()
-    data = np.column_stack([rows.column(c).to_numpy() for c in (*STATS, "quality")]) if rows.num_rows else np.zeros((0, len(STATS) + 1))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
+    keys = rows.select("doc_id", F.xxhash64("text").alias("text_key")).distinct().orderBy(F.xxhash64("doc_id", "text_key"), "doc_id", "text_key").limit(most)
+    keys = spark.createDataFrame(keys.collect(), keys.schema)  # most rows at most
+    once = rows.withColumn("text_key", F.xxhash64("text")).join(F.broadcast(keys), ["doc_id", "text_key"]).groupBy("doc_id", "text_key").agg(F.first("text").alias("text"))
+    table = counted(once).join(F.broadcast(chosen), "doc_id").select(*STATS, "quality").toArrow()
+    return np.column_stack([table.column(c).to_numpy() for c in (*STATS, "quality")]) if table.num_rows else np.zeros((0, len(STATS) + 1))
+
+
+def learn_from(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> list[list[Condition]]:
+    """The list learned from at most ``most`` labelled rows; a row labelled twice counts with its least label."""
+    data = labelled(docs, labels, most)
     data = data[np.lexsort(data.T)]  # rows come in any order
     data = data[np.argsort(np.random.default_rng(3).random(len(data)), kind="stable")]
     return learn(data[:, :-1], data[:, -1] == 0)
