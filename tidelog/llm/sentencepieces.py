@@ -17,7 +17,8 @@ their UTF-8 bytes' pieces, or the unknown piece if the model has none.
 Case handling: null and empty texts have no tokens; white space is kept as the
 model's normaliser says; a text that holds the white space mark itself decodes
 to a space there; a very long word is encoded whole, in linear time; repeated
-rows each get their row; further columns are ignored.
+rows each get their row; further columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
