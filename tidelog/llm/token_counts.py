@@ -4,27 +4,30 @@ A batch is a set of changes, each with an old and a new record (source, lang,
 tokenizer, n_tokens) of a document: no old one is an insert, no new one a
 delete, both a revision, which may move a document to another source, language
 or tokenizer version. A batch's changes are summed to one signed row for each
-key and written to a folder of their own; the batch counts once its commit file
-is there, which is created only if it isn't there yet. Running a batch again,
-or a second writer with the same batch, changes nothing. Totals are the sum of
-the deltas of all commits; ``compact`` folds them into one.
+key and written to a folder of their own; the batch counts once its commit is in
+the log, a file under the next number, which only one writer can create. Running
+a batch again, or a second writer with the same batch, changes nothing. Totals
+are the sum of the deltas of all commits; ``compact`` folds those that are live
+into one, which is void if another fold took one of them first.
 
 Case handling: null source, lang or tokenizer is a key of its own; null counts
 are 0; empty batches commit and add nothing; repeated changes count as often as
 they stand there (a batch is idempotent, a row isn't); keys whose documents and
-tokens come to zero are left out of the totals; further columns are ignored.
+tokens come to zero are left out of the totals; further columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
 
-import json
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.llm import sentencepieces
 from tidelog.llm.common import prepare, stored, work_dir
+from tidelog.sources.files import Folder
 
 KEY = ("source", "lang", "tokenizer")
 RECORD = "struct<source: string, lang: string, tokenizer: string, n_tokens: bigint>"
@@ -55,66 +58,64 @@ def delta(changes: DataFrame) -> DataFrame:
 
 
 class Rollup:
-    """Totals in a folder of the shared file system."""
+    """Totals in a folder of the shared file system, by a log of numbered commits."""
 
     def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root
-        jvm = spark._jvm
-        self._path = lambda name: jvm.org.apache.hadoop.fs.Path(f"{root}/{name}")
-        self._fs = self._path("commits").getFileSystem(spark._jsc.hadoopConfiguration())
-        self._fs.mkdirs(self._path("commits"))
-
-    def committed(self) -> dict[str, list[str]]:
-        """Commit names and the delta folders they stand for."""
-        found = {}
-        for status in self._fs.listStatus(self._path("commits")):
-            name = status.getPath().getName()
-            stream = self._fs.open(status.getPath())
-            try:
-                found[name] = json.loads(bytes(stream.readAllBytes()).decode())
-            finally:
-                stream.close()
-        return found
-
-    def _mark(self, name: str, content: dict) -> bool:
-        """Create a commit file with its whole content, unless it is there: written aside, then renamed."""
-        aside = self._path(f"aside-{uuid.uuid4().hex}")
-        stream = self._fs.create(aside, False)
-        stream.write(bytearray(json.dumps(content).encode()))
-        stream.close()
-        to = self._path(f"commits/{name}")
-        done = not self._fs.exists(to) and self._fs.rename(aside, to)
-        if not done:
-            self._fs.delete(aside, False)
-        return done
+        self.spark, self.folder = spark, Folder(spark, root)
+        self.folder.make("commits")
+
+    def _replayed(self) -> tuple[int, dict[int, str], set[str]]:
+        """The last commit's number, the delta folders that count by commit, and all batches; commits are taken in order.
+
+        A batch that an earlier commit has, and a fold of what isn't live any more, are void.
+        """
+        live: dict[int, str] = {}
+        batches: set[str] = set()
+        names = self.folder.names("commits")
+        for name in names:
+            number, commit = int(name.removesuffix(".json")), self.folder.read(f"commits/{name}")
+            if "batch" in commit and commit["batch"] not in batches:
+                batches.add(commit["batch"])
+                live[number] = commit["folder"]
+            elif "replaces" in commit and live.keys() >= set(commit["replaces"]):
+                for k in commit["replaces"]:
+                    del live[k]
+                live[number] = commit["folder"]
+        return (int(names[-1].removesuffix(".json")) if names else 0), live, batches
+
+    def _append(self, commit: dict, valid) -> bool:
+        """Commit under the next free number, while ``valid`` holds of what is live and known by then."""
+        while True:
+            last, live, batches = self._replayed()
+            if not valid(live, batches):
+                return False
+            if self.folder.publish(f"commits/{last + 1:010d}.json", commit):
+                return True
 
     def commit(self, batch: str, changes: DataFrame) -> bool:
         """Add a batch once; False if it was there before."""
-        if any(batch in c["batches"] for c in self.committed().values()):
+        if batch in self._replayed()[2]:
             return False
         folder = f"deltas/{batch}-{uuid.uuid4().hex}"
-        delta(changes).coalesce(1).write.parquet(f"{self.root}/{folder}")
-        return self._mark(f"batch-{batch}", {"batches": [batch], "folder": folder, "replaces": []})
+        delta(changes).write.parquet(self.folder.path(folder))
+        return self._append({"batch": batch, "folder": folder}, lambda live, batches: batch not in batches)
 
-    def _live(self) -> dict[str, dict]:
-        commits = self.committed()
-        gone = {r for c in commits.values() for r in c["replaces"]}
-        return {n: c for n, c in commits.items() if n not in gone}
-
-    def totals(self) -> DataFrame:
-        """(source, lang, tokenizer, n_docs, n_tokens) over all commits; keys at zero are left out."""
-        folders = [f"{self.root}/{c['folder']}" for c in self._live().values()]
+    def _total(self, folders: Iterable[str]) -> DataFrame:
+        paths = [self.folder.path(f) for f in folders]
         schema = "source string, lang string, tokenizer string, n_docs long, n_tokens long"
-        rows = self.spark.read.schema(schema).parquet(*folders) if folders else self.spark.createDataFrame([], schema)
+        rows = self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
         return rows.groupBy(*KEY).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")).where("n_docs <> 0 or n_tokens <> 0")
 
-    def compact(self) -> None:
-        """Fold all live commits into one, which names them; batches stay known."""
-        live = self._live()
-        name = f"fold-{uuid.uuid4().hex}"
-        folder = f"deltas/{name}"
-        self.totals().coalesce(1).write.parquet(f"{self.root}/{folder}")
-        self._mark(name, {"batches": sorted(b for c in live.values() for b in c["batches"]), "folder": folder, "replaces": sorted(live)})
+    def totals(self) -> DataFrame:
+        """(source, lang, tokenizer, n_docs, n_tokens) over all commits; keys at zero are left out."""
+        return self._total(self._replayed()[1].values())
+
+    def compact(self) -> bool:
+        """Fold all live commits into one; False if another fold was first. Batches stay known."""
+        _, live, _ = self._replayed()
+        folder = f"deltas/fold-{uuid.uuid4().hex}"
+        self._total(live.values()).write.parquet(self.folder.path(folder))
+        return self._append({"replaces": sorted(live), "folder": folder}, lambda now, _: now.keys() >= live.keys())
 
 
 def word_count(text: Column) -> Column:
